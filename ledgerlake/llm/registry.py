@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_op1", "q_op2"]
+MODULES = ["q_op1", "q_op2", "q_op7"]
 
 
 def _modules():
