@@ -25,7 +25,7 @@ COMMON = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "sur"],
 }
 OTHER = "*"
-MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 50, 0.35, 0.45
+MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 50, 0.3, 0.45
 
 _UPPER, _DIGIT, _MARK = "[A-Z]", "[0-9]", r"""[!"'()+,\-./:;=?@\[\\\]^_`{}~]"""
 _SYMBOL = "[#*$%&|<>]"

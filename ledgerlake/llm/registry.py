@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_op1", "q_op2", "q_op7"]
+MODULES = ["q_op1", "q_op2", "q_op7", "q_op10"]
 
 
 def _modules():
