@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_op1", "q_op2", "q_op3", "q_op4", "q_op6", "q_op7", "q_op8", "q_op9", "q_op10"]
+MODULES = ["q_op1", "q_op2", "q_op3", "q_op4", "q_op5", "q_op6", "q_op7", "q_op8", "q_op9", "q_op10"]
 
 
 def _modules():
