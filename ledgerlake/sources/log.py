@@ -24,13 +24,20 @@ def rank(type_: Column) -> Column:
     return F.when(type_.isin("INTEGER", "LONG", "FLOAT", "DOUBLE"), NUMBER).when(type_ == "LINK", LINK).otherwise(OTHER)
 
 
+_WHOLE = ("int", "bigint", "smallint", "tinyint", "long")
+
+
+def is_number(kind: str) -> bool:
+    return kind in (*_WHOLE, "double", "float") or kind.startswith("decimal")
+
+
 def encoded(column: Column, kind: str) -> list[Column]:
     """type, num, str and vid of a typed column; kind is a Spark type name, or LINK or TAG."""
     if kind == "LINK":
         n = column.cast("long")
         return [F.lit("LINK").alias("type"), n.cast(NUM).alias("num"), F.concat(F.lit("@"), n).alias("str"), F.concat(F.lit("l:"), n).alias("vid")]
-    if kind in ("double", "float", "int", "bigint", "smallint", "tinyint", "long") or kind.startswith("decimal"):
-        whole = kind in ("int", "bigint", "smallint", "tinyint", "long")
+    if is_number(kind):
+        whole = kind in _WHOLE
         # a float counts by its decimal text, and a number beyond the exact range keeps a null num and its text
         num = column.cast(NUM) if whole else column.cast("string").try_cast(NUM)
         text = column.cast("string") if whole else F.regexp_replace(F.coalesce(F.format_string("%s", num.cast("string")), column.cast("string")), r"(\.[0-9]*?)0+$", "$1")
@@ -110,7 +117,7 @@ class Table:
         if kind == "LINK":
             value = F.lit(self.links[column] << 40) + value.cast("long")
         typed = {c: e for c, e in zip(("type", "num", "str", "vid"), encoded(value, kind), strict=True)}
-        r = LINK if kind == "LINK" else NUMBER if typed["type"]._jc.toString().split(" ")[0] in ("INTEGER", "LONG", "FLOAT", "DOUBLE") else OTHER
+        r = LINK if kind == "LINK" else NUMBER if is_number(kind) else OTHER
         # numbers keep their own type, so that comparisons with literals reach the scan
         num = value if r != OTHER else F.lit(None).cast("double")
         zero = F.struct(F.lit(0).cast("long").alias("version"), F.lit(0).cast("long").alias("seq"))
