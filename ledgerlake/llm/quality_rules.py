@@ -70,9 +70,14 @@ def repeated_words(words: Column, window: int = 8) -> Column:
     return F.when(F.size(words) < window, F.lit(0)).otherwise(let(hashed, of))
 
 
-def _char_counts(text: Column, word_chars: Column, symbols: Column) -> Column:
+def _rare(text: Column) -> Column:
+    """The text without small letters, white space and all that is not ASCII: a short string to count in."""
+    return F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+|[^\x00-\x7F]+", "")
+
+
+def _char_counts(text: Column, rare: Column, word_chars: Column, symbols: Column) -> Column:
     """Counts of upper case, digits, marks, symbols, white space, what UTF-8 adds for other letters, and the rest."""
-    upper, digit, mark = (F.regexp_count(text, F.lit(p)) for p in (_UPPER, _DIGIT, _MARK))
+    upper, digit, mark = (F.regexp_count(rare, F.lit(p)) for p in (_UPPER, _DIGIT, _MARK))
     blank, wide = F.length(text) - word_chars, F.octet_length(text) - F.length(text)
 
     def all_of(c: Column) -> Column:
@@ -98,21 +103,22 @@ def js_distance(p: Column, q: Column) -> Column:
 def _histograms(docs: DataFrame, text: str, lang: str, full: bool) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.when(F.col(lang).isin(list(COMMON)), F.col(lang)).otherwise(OTHER)
-    symbols = F.regexp_count(body, F.lit(_SYMBOL))
 
-    def measured(w: Column) -> Column:
-        chars = F.length(F.array_join(w, ""))
-        base = [F.size(w).alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), _share(_char_counts(body, chars, symbols)).alias("char_share"), _share(_word_counts(w, key)).alias("word_share")]
+    def measured(w: Column, rare: Column) -> Column:
+        chars, symbols = F.length(F.array_join(w, "")), F.regexp_count(rare, F.lit(_SYMBOL))
+        base = [F.size(w).alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), _share(_char_counts(body, rare, chars, symbols)).alias("char_share"), _share(_word_counts(w, key)).alias("word_share")]
         return F.struct(*base, *[repeated_words(w).alias("n_repeat_words")] * full)
 
-    return docs.select("*", key.alias("_key"), let(words_of(body), measured).alias("_m"))
+    return docs.select("*", key.alias("_key"), let(words_of(body), lambda w: let(_rare(body), lambda rare: measured(w, rare))).alias("_m"))
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS) -> DataFrame:
     """(key, char_ref, word_ref): mean histograms over all documents that are long enough; at most one row per key."""
-    h = _histograms(docs.select(text, lang), text, lang, False).filter(F.col("_m.n_words") >= min_words).select("_key", "_m.char_share", "_m.word_share")
+    h = _histograms(docs.select(text, lang), text, lang, False)
     wide = max(len(_list_of(k)) for k in [*COMMON, OTHER]) + 1
-    agg = h.groupBy("_key").agg(*[F.avg(F.get("char_share", F.lit(i))).alias(f"c{i}") for i in range(7)], *[F.avg(F.get("word_share", F.lit(i))).alias(f"w{i}") for i in range(wide)])
+    # a condition inside the sums, as a filter would be pushed below the histograms and compute them twice
+    mean = lambda own, i: F.avg(F.when(F.col("_m.n_words") >= min_words, F.get(F.col("_m")[own], F.lit(i))))
+    agg = h.groupBy("_key").agg(*[mean("char_share", i).alias(f"c{i}") for i in range(7)], *[mean("word_share", i).alias(f"w{i}") for i in range(wide)]).filter("c0 IS NOT NULL")
     full = F.array(*[f"w{i}" for i in range(wide)])
     return agg.select(F.col("_key"), F.array(*[f"c{i}" for i in range(7)]).alias("char_ref"), F.filter(full, lambda x: x.isNotNull()).alias("word_ref"))
 
