@@ -15,6 +15,8 @@ The tokenizer must drop white space and have no decoder, as word_bpe_49k.json do
 from __future__ import annotations
 
 import json
+import os
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .textcore import IS_SPACE, Hasher, chunks, pieces, utf8_of
 
-BLOCK = 4 << 20
+BLOCK = 8 << 20
+_PIECE, _JOINED, _OUT_ROWS = 1 << 19, 2000, 128
 
 
 def check_tokenizer(path: str) -> None:
@@ -39,16 +42,22 @@ class WordTable:
 
     def __init__(self, column: pa.Array, hasher: Hasher):
         data, offsets = utf8_of(column)
-        starts, ends, row = pieces(~IS_SPACE[data], offsets)
-        self.per_doc = np.bincount(row, minlength=len(column))
-        hashes = hasher(data, starts, ends)
-        _, first, self.of = np.unique(hashes, return_index=True, return_inverse=True)
+        hashes, places, self.per_doc = [], [], np.zeros(len(column), np.int64)
+        for a, b in chunks(offsets, _PIECE):  # prefix sums of a piece at a time
+            at = int(offsets[a])
+            part = data[at : offsets[b]]
+            starts, ends, row = pieces(~IS_SPACE[part], offsets[a : b + 1] - at)
+            self.per_doc[a:b] = np.bincount(row, minlength=b - a)
+            hashes.append(hasher(part, starts, ends))
+            places.append(np.stack((starts, ends), axis=1) + at)
+        _, first, self.of = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
         raw = data.tobytes()
-        self.words = [raw[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        self.words = [raw[x:y].decode() for x, y in np.concatenate(places)[first].tolist()]
 
 
 class Codec:
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,10 +69,33 @@ class Codec:
             self.pieces[i] = piece
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and how many each word has."""
-        found = [e.ids for at in range(0, len(words), 4096) for e in self.tokenizer.encode_batch(words[at : at + 4096], add_special_tokens=False)]
-        counts = np.array([len(x) for x in found], np.int64)
-        return np.array([i for x in found for i in x], np.uint32), counts
+        """Ids of all words in a row, and how many each word has.
+
+        Many words make one call: joined by spaces, which no token crosses, and told apart by their tokens' offsets. Words that
+        the normalizer may lengthen or shorten, so that offsets could shift, are encoded one by one."""
+        ids, counts = [], np.zeros(len(words), np.int64)
+        for at in range(0, len(words), _JOINED):
+            part = words[at : at + _JOINED]
+            plain = [w.isascii() or (unicodedata.is_normalized("NFC", w) and len(w.lower()) == len(w)) for w in part]
+            joined = [w for w, p in zip(part, plain, strict=True) if p]
+            found = self.tokenizer.encode(" ".join(joined), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in joined)])[:-1]
+            begin = np.array([o[0] for o in found.offsets], np.int64)
+            own = np.bincount(np.searchsorted(starts, begin, "right") - 1, minlength=len(joined)) if len(joined) else np.zeros(0, np.int64)
+            if all(plain):
+                ids.append(np.array(found.ids, np.uint32))
+                counts[at : at + len(part)] = own
+                continue
+            flat, taken, k = found.ids, 0, 0
+            for i, (w, p) in enumerate(zip(part, plain, strict=True)):
+                if p:
+                    n = int(own[k])
+                    word_ids, taken, k = flat[taken : taken + n], taken + n, k + 1
+                else:
+                    word_ids = self.tokenizer.encode(w, add_special_tokens=False).ids
+                ids.append(np.array(word_ids, np.uint32))
+                counts[at + i] = len(word_ids)
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), counts
 
     def decode_words(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """What each word decodes to, by the join of its ids with the pieces."""
@@ -87,13 +119,14 @@ def _encode(path: str):
                 ids, counts = codec.encode_words(table.words)
                 decoded = codec.decode_words(ids, counts)
                 starts = np.cumsum(counts) - counts
-                at, docs, texts = 0, [], []
-                for n in table.per_doc.tolist():
-                    own = table.of[at : at + n]
-                    docs.append(ids[_ranges(starts[own], counts[own])].astype("<u4").tobytes())
-                    texts.append(" ".join([x for x in decoded[own].tolist() if x]))
-                    at += n
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(docs, pa.binary()), pa.array(texts, pa.string())], names=["row", "ids", "decoded"])
+                ends = np.cumsum(table.per_doc)
+                for lo in range(0, b - a, _OUT_ROWS):
+                    docs, texts = [], []
+                    for end, n in zip(ends[lo : lo + _OUT_ROWS].tolist(), table.per_doc[lo : lo + _OUT_ROWS].tolist(), strict=True):
+                        own = table.of[end - n : end]
+                        docs.append(ids[_ranges(starts[own], counts[own])].astype("<u4").tobytes())
+                        texts.append(" ".join([x for x in decoded[own].tolist() if x]))
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, len(docs)), pa.array(docs, pa.binary()), pa.array(texts, pa.string())], names=["row", "ids", "decoded"])
 
     return run
 
