@@ -43,7 +43,11 @@ class Finder:
 
     def _fused(self, tree) -> DataFrame:
         leaves = self._leaves(tree)
-        t, triple = self.store.triples(list(dict.fromkeys(x.key for x in leaves)), leaves[0].at), Triple()
+        keys = list(dict.fromkeys(x.key for x in leaves))
+        wide = self.store.wide(keys, leaves[0].at)
+        if wide is not None:  # one value a record: the tree is a plain condition on the row, and reaches the scan
+            return wide.filter(self._on_row(tree, {k: Triple(f"{i}_") for i, k in enumerate(keys)})).select("record")
+        t, triple = self.store.triples(keys, leaves[0].at), Triple()
         conditions = [(F.col("key") == x.key) & triple.compare(x.operator, list(x.values)) for x in leaves]
         any_of = conditions[0]
         for c in conditions[1:]:
@@ -59,6 +63,12 @@ class Finder:
 
         return marks.filter(verdict(tree)).select("record")
 
+    def _on_row(self, node, triples: dict[str, Triple]) -> Column:
+        if isinstance(node, Leaf):
+            return triples[node.key].compare(node.operator, list(node.values))
+        left, right = self._on_row(node.left, triples), self._on_row(node.right, triples)
+        return left & right if isinstance(node, And) else left | right
+
     def leaf(self, leaf: Leaf) -> DataFrame:
         kind = key_class(leaf.key)
         if kind == "identifier":
@@ -78,6 +88,11 @@ class Finder:
                 starts = path_triples(self.store, ".".join(stops[:-1]), None, want_end=True)
                 return starts.join(ends.withColumnRenamed("record", "end"), "end", "left_semi").select("record").distinct()
             return self._compare(t, leaf)
+        if leaf.operator in ("LINKS_TO", "EQUALS") and (leaf.operator == "LINKS_TO" or isinstance(leaf.values[0], Link)):
+            v = leaf.values[0]
+            t = self.store.linked(leaf.key, v.record if isinstance(v, Link) else int(v))
+            if t is not None:
+                return t.select("record") if self.store.unique(leaf.key) else t.select("record").distinct()
         t = self.store.triples([leaf.key], leaf.at)
         if leaf.operator == "NOT_CONTAINS" and leaf.at is None:
             return self.store.inventory().join(search.matching(t, leaf.values[0]).select("record").distinct(), "record", "left_anti")

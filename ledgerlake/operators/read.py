@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import Scalar, identity
 from ..plans.ccl import key_class
+from ..sources.log import text_of
 from .navigate import many_paths
 
 _FIELDS = ["record", "key", "type", "num", "str", "vid", "added_at"]
@@ -59,7 +60,7 @@ def browse(store, key: str, at: int | None = None) -> DataFrame:
 
 def browse_counts(store, key: str, at: int | None = None) -> DataFrame:
     """(str, records): values of a key with the number of their records."""
-    return browse(store, key, at).groupBy("vid").agg(F.min("str").alias("str"), F.count("*").alias("records")).select("str", "records")
+    return browse(store, key, at).groupBy("vid").agg(F.count("*").alias("records")).select(text_of(F.col("vid")).alias("str"), "records")
 
 
 def describe(store, records: DataFrame | None = None, at: int | None = None) -> DataFrame:
@@ -70,6 +71,11 @@ def describe(store, records: DataFrame | None = None, at: int | None = None) ->
     return t.select("record", "key").distinct()
 
 
+def invert(t: DataFrame) -> DataFrame:
+    """(key, str, records array): the inverted view of a result."""
+    return t.groupBy("key", "vid").agg(F.array_sort(F.collect_set("record")).alias("records")).select("key", text_of(F.col("vid")).alias("str"), "records")
+
+
 def verify(store, key: str, value: Scalar, record: int, at: int | None = None) -> bool:
     return bool(store.triples([key], at).filter((F.col("record") == record) & (F.col("vid") == identity(value))).limit(1).count())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.log import COLUMNS, fold
+from ..sources.log import COLUMNS, fold, is_add, moment, text_of
 
 
 def review(revisions: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -52,10 +52,9 @@ def diff(revisions: DataFrame, start: int, end: int | None = None) -> DataFrame:
 
     One aggregation makes both folds. Limit revisions to a key, a record or a field before."""
     seen = revisions if end is None else revisions.filter(F.col("version") <= end)
-    last = F.struct("version", "seq", "action")
-    ends = seen.groupBy("key", "record", "vid").agg(F.max(F.when(F.col("version") <= start, last)).alias("a"), F.max(last).alias("b"), F.max("str").alias("str"))
-    was, now = F.coalesce(F.col("a.action") == "ADD", F.lit(False)), F.col("b.action") == "ADD"
-    return ends.filter(was != now).select("key", "record", "vid", "str", F.when(now, "ADDED").otherwise("REMOVED").alias("action"))
+    ends = seen.withColumn("m", moment()).groupBy("key", "record", "vid").agg(F.max(F.when(F.col("version") <= start, F.col("m"))).alias("a"), F.max("m").alias("b"))
+    was, now = F.coalesce(is_add("a"), F.lit(False)), is_add("b")
+    return ends.filter(was != now).select("key", "record", "vid", text_of(F.col("vid")).alias("str"), F.when(now, "ADDED").otherwise("REMOVED").alias("action"))
 
 
 def revert(revisions: DataFrame, to: int, version: int) -> DataFrame:

@@ -214,6 +214,12 @@ def get_latest(spark, sf):
     return added(spark, sf).get().select(F.col("record").alias("user_id"), F.col("key").alias("event_type"), num())
 
 
+@query(f"SELECT event_type, value, count(*) AS n FROM ({_ADDED}) WHERE user_id < 20 GROUP BY ALL")
+def invert(spark, sf):
+    i = read.invert(added(spark, sf).store.triples().filter("record < 20"))
+    return i.select(F.col("key").alias("event_type"), F.col("str").cast("double").alias("value"), F.size("records").cast("long").alias("n"))
+
+
 @query(f"SELECT user_id, event_type, value FROM ({_SET}) WHERE ts <= TIMESTAMP '{T1}' AND (until IS NULL OR until > TIMESTAMP '{T1}')")
 def select_at(spark, sf):
     return set_log(spark, sf).select(at=T1).select(F.col("record").alias("user_id"), F.col("key").alias("event_type"), num())

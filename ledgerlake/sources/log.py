@@ -65,12 +65,45 @@ def micros_of(column: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), column)
 
 
+_TYPES = ["STRING", "TAG", "LINK", "BOOLEAN", "INTEGER", "LONG", "FLOAT", "DOUBLE", "TIMESTAMP"]
+_STEP = "10000000000000000000"
+
+
+def moment() -> Column:
+    """(version, seq, type, action) of a revision as one decimal that orders as they do.
+
+    A decimal fits the buffers of hash aggregation, which a struct or a text does not, so the last action of a value is found
+    without sorting."""
+    code = F.coalesce(F.array_position(F.array(*map(F.lit, _TYPES)), F.col("type")), F.lit(0)).cast("decimal(20,0)")
+    low = F.col("seq").cast("decimal(20,0)") * 32 + code * 2 + F.when(F.col("action") == "ADD", 1).otherwise(0)
+    return (F.col("version").cast("decimal(38,0)") * F.lit(_STEP).cast("decimal(20,0)") + low).cast("decimal(38,0)")
+
+
+def is_add(m: str) -> Column:
+    return F.expr(f"pmod({m}, 2) = 1")
+
+
+def text_of(vid: Column) -> Column:
+    """The string form that an identity holds."""
+    tail = F.substr(vid, F.lit(3))
+    return F.when(vid.startswith("l:"), F.concat(F.lit("@"), tail)).otherwise(tail)
+
+
+def num_of(vid: Column) -> Column:
+    return F.when(vid.startswith("n:") | vid.startswith("l:"), F.substr(vid, F.lit(3)).try_cast(NUM))
+
+
 def fold(revisions: DataFrame, at: int | None = None) -> DataFrame:
-    """Triples live at a time: of each (key, record, value) the last action, if that is ADD. One shuffle, partial sums."""
+    """Triples live at a time: of each (key, record, value) the last action, if that is ADD.
+
+    One hash aggregation with partial maxima; the shuffle holds the identity and one decimal a value, and all else is read
+    from those."""
     seen = revisions if at is None else revisions.filter(F.col("version") <= at)
-    last = F.struct("version", "seq")
-    live = seen.groupBy("key", "record", "vid").agg(F.max(F.struct("version", "seq", "action")).alias("_l"), *[F.max_by(c, last).alias(c) for c in ("type", "num", "str")])
-    return live.filter("_l.action = 'ADD'").select("key", "record", "type", rank(F.col("type")).alias("rank"), "num", "str", "vid", F.struct("_l.version", "_l.seq").alias("added_at"))
+    live = seen.withColumn("m", moment()).groupBy("key", "record", "vid").agg(F.max("m").alias("m")).filter(is_add("m"))
+    parts = live.withColumn("_v", F.expr(f"m div {_STEP}BD")).withColumn("_low", F.expr(f"m - CAST(_v AS DECIMAL(38, 0)) * {_STEP}BD"))
+    type_ = F.get(F.array(*map(F.lit, _TYPES)), F.expr("CAST(pmod(_low, 32) AS INT) div 2").cast("int") - 1)
+    typed = parts.select("key", "record", type_.alias("type"), num_of(F.col("vid")).alias("num"), text_of(F.col("vid")).alias("str"), "vid", F.struct(F.col("_v").alias("version"), F.expr("_low div 32").alias("seq")).alias("added_at"))
+    return typed.select("key", "record", "type", rank(F.col("type")).alias("rank"), "num", "str", "vid", "added_at")
 
 
 def changes(rows: DataFrame) -> DataFrame:
@@ -93,6 +126,12 @@ class LogStore:
     def triples(self, keys: Iterable[str] | None = None, at: int | None = None) -> DataFrame:
         return fold(self.revisions(keys), at)
 
+    def wide(self, keys: Iterable[str], at: int | None) -> DataFrame | None:
+        return None
+
+    def linked(self, key: str, target: int) -> DataFrame | None:
+        return None
+
     def inventory(self) -> DataFrame:
         """Every record ever written; one that was emptied stays."""
         return self.log.select("record").distinct()
@@ -111,7 +150,7 @@ class Table:
         base = F.lit(self.number << 40)
         return base + (F.col(self.pk).cast("long") if self.pk else F.col("_metadata.row_index"))
 
-    def triples(self, column: str) -> DataFrame:
+    def columns(self, column: str) -> dict[str, Column]:
         kind = "LINK" if column in self.links else "TAG" if column in self.tags else dict(self.df.dtypes)[column]
         value = F.col(column)
         if kind == "LINK":
@@ -121,7 +160,11 @@ class Table:
         # numbers keep their own type, so that comparisons with literals reach the scan
         num = value if r != OTHER else F.lit(None).cast("double")
         zero = F.struct(F.lit(0).cast("long").alias("version"), F.lit(0).cast("long").alias("seq"))
-        return self.df.filter(F.col(column).isNotNull()).select(F.lit(column).alias("key"), self.record().alias("record"), typed["type"], F.lit(r).alias("rank"), num.alias("num"), typed["str"], typed["vid"], zero.alias("added_at"))
+        return {"type": typed["type"], "rank": F.lit(r), "num": num, "str": typed["str"], "vid": typed["vid"], "added_at": zero}
+
+    def triples(self, column: str) -> DataFrame:
+        own = [c.alias(n) for n, c in self.columns(column).items()]
+        return self.df.filter(F.col(column).isNotNull()).select(F.lit(column).alias("key"), self.record().alias("record"), *own)
 
 
 class TableStore:
@@ -146,8 +189,28 @@ class TableStore:
         out = None
         for t in tables:
             own = t.df.select(t.record().alias("record"))
+            own = own if t.pk else own.distinct()  # ids of tables do not overlap
             out = own if out is None else out.unionByName(own)
-        return out.distinct()
+        return out
+
+    def wide(self, keys: Iterable[str], at: int | None) -> DataFrame | None:
+        """If all keys are columns of one table with a primary key: a row per record, (record, <i>_rank, <i>_num, ...)."""
+        keys = list(keys)
+        tables = {id(self.of[k]): self.of[k] for k in keys if k in self.of}
+        if len(tables) != 1 or not all(k in self.of for k in keys):
+            return None
+        table = next(iter(tables.values()))
+        if not table.pk:
+            return None
+        own = [c.alias(f"{i}_{n}") for i, k in enumerate(keys) for n, c in table.columns(k).items() if n in ("rank", "num", "str", "type")]
+        return table.df.select(table.record().alias("record"), *own)
+
+    def linked(self, key: str, target: int) -> DataFrame | None:
+        """Triples of a link column with one target, as a plain comparison of the column."""
+        table = self.of.get(key)
+        if table is None or key not in table.links:
+            return None
+        return Table(table.df.filter(F.col(key) == target - (table.links[key] << 40)), table.number, table.pk, table.links, table.tags).triples(key)
 
     def unique(self, key: str) -> bool:
         """Whether a record has one value of the key at most, so that no distinct is needed."""
