@@ -7,6 +7,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ class Reader:
         return ccl.parse(condition, data, self.clock) if isinstance(condition, str) else Query(condition)
 
     def ids(self, records: Iterable[int]) -> DataFrame:
-        return self.spark.createDataFrame([(r,) for r in records], "record long")
+        return self.spark.createDataFrame(pa.table({"record": pa.array(list(records), pa.int64())}))
 
     def _records(self, of, at: int | None = None, data: dict | None = None, sort: Iterable[Sort] = (), page: Page | None = None) -> DataFrame | None:
         """(record) of ids, a condition, a DataFrame, or None for all."""

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import Call, Link, Scalar, identity
-from ..sources.log import COLUMNS, REVISIONS, fold, literal
+from ..functions.values import Call, Link, Scalar, identity, type_of
+from ..sources.log import COLUMNS, fold, num_of, text_of
 
 _KEYS = ["key", "record", "vid"]
 
@@ -37,12 +38,16 @@ def check(key: str, value: Scalar, record: int | None) -> None:
 
 def intents(spark: SparkSession, rows: list[tuple[str, str, Scalar, int]], version: int) -> DataFrame:
     """Driver-side writes (action, key, value, record) in order, as revisions."""
-    out = None
+    found: list[tuple] = []
     for seq, (action, key, value, record) in enumerate(rows):
         check(key, value, record if action == "ADD" else None)
-        one = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(seq).cast("long").alias("seq"), F.lit(action).alias("action"), F.lit(key).alias("key"), F.lit(record).cast("long").alias("record"), *literal(value))
-        out = one if out is None else out.unionByName(one)
-    return (out if out is not None else spark.createDataFrame([], REVISIONS)).select(*COLUMNS)
+        found.append((version, seq, action, key, record, type_of(value), identity(value)))
+    # an Arrow table becomes a local relation: part of the plan, without a job of its own
+    columns = zip(*found, strict=True) if found else [[]] * 7
+    schema = pa.schema([("version", pa.int64()), ("seq", pa.int64()), ("action", pa.string()), ("key", pa.string()), ("record", pa.int64()), ("type", pa.string()), ("vid", pa.string())])
+    table = pa.table([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    vid = F.col("vid")
+    return spark.createDataFrame(table).select("version", "seq", "action", "key", "record", "type", num_of(vid).alias("num"), text_of(vid).alias("str"), "vid").select(*COLUMNS)
 
 
 def effective(log: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import LINK, NUMBER, OTHER, Link, Scalar, identity, rank_of, string_form, type_of
+from ..functions.values import LINK, NUMBER, OTHER
 
 NUM = "decimal(38,10)"
 REVISIONS = f"version long, seq long, action string, key string, record long, type string, num {NUM}, str string, vid string"
@@ -54,12 +54,6 @@ def encoded(column: Column, kind: str) -> list[Column]:
     return [F.lit("TAG" if kind == "TAG" else "STRING").alias("type"), none, text.alias("str"), F.concat(F.lit("s:"), text).alias("vid")]
 
 
-def literal(v: Scalar) -> list[Column]:
-    num = v.record if isinstance(v, Link) else v if rank_of(v) == NUMBER else None
-    num = F.lit(None if num is None else str(num)).try_cast(NUM)
-    return [F.lit(type_of(v)).alias("type"), num.alias("num"), F.lit(string_form(v)).alias("str"), F.lit(identity(v)).alias("vid")]
-
-
 def micros_of(column: Column) -> Column:
     """Micros since the epoch of a timestamp_ntz, whatever the session's time zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), column)

@@ -16,11 +16,9 @@ from ledgerlake.sources.log import LogStore
 
 def reader(spark, rows):
     """rows: (version, action, key, value, record)."""
-    out = None
-    for i, (version, action, key, value, record) in enumerate(rows):
-        one = intents(spark, [(action, key, value, record)], version).withColumn("seq", F.lit(i).cast("long"))
-        out = one if out is None else out.unionByName(one)
-    return Reader(LogStore(out.cache()), spark)
+    log = intents(spark, [r[1:] for r in rows], 0)
+    versions = F.get(F.array(*[F.lit(r[0]) for r in rows]), F.col("seq").cast("int"))
+    return Reader(LogStore(log.withColumn("version", versions.cast("long")).cache()), spark)
 
 
 def ids(df):
