@@ -2,8 +2,9 @@
 
 1. Each document's set of word shingles gives a fingerprint (equal sets are one vertex) and part signatures: the tokens are
    dealt into k parts by hash, k greater than the number of tokens by which two linked sets of that size class can differ, so
-   that two linked sets agree in a whole part. Signatures meet in buckets; sets that share one become candidates.
-2. Candidates' connected components are small tables of work. Of each vertex in one, one text is brought to its component.
+   that two linked sets agree in a whole part, and in more the nearer their sizes. Signatures meet in buckets; a set that
+   shares too few of its parts with any other set has no link. Of each set that is left one text is fetched.
+2. Those sets' signatures meet again, among themselves; connected components of what they share are the pieces of work.
 3. In a component a signature tree finds the links (signature_tree). Components that are too large for a task are cut into
    blocks by size class and salt, and every pair of blocks that can hold a link is one piece of work.
 4. Links' components, with all documents of each fingerprint, are the result.
@@ -77,15 +78,22 @@ class Classes:
         top = np.exp((band + 1) * self.log)
         differ = np.floor(2 * top * (1 - self.t) / (1 + self.t)).astype(np.int64) + 1
         spare = np.where(differ > 8, np.ceil(1.5 * differ * np.exp(-top * self.t / differ)).astype(np.int64) + 2, 0)
-        return differ + spare, spare
+        # an eighth more parts than need be, so that a set must share more than a chance part to have a link
+        return differ + spare + differ // 8, spare
 
+    def shared(self, size: np.ndarray, more: int) -> np.ndarray:
+        """How many parts of its own class (more = 0) or the next a set of this size shares with any that it links to."""
+        band = self.band(size) + more
+        largest = np.minimum(np.exp((band + 1) * self.log), size / self.t + 1)
+        return self.parts(band)[0] - np.floor((size + largest) * (1 - self.t) / (1 + self.t)).astype(np.int64) - 1
 
-def part_signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, position of the set) for each set, of its own class and the next."""
+
+def part_signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, twice the position of the set, plus one in the next class), and for each of these the parts to share."""
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     doc = np.repeat(np.arange(len(sets)), size)
-    found = []
+    found, least = [], np.zeros((len(sets), 2), np.int64)
     with np.errstate(over="ignore"):
         where, weight = mix64(flat + np.uint64(77)), mix64(flat ^ _ODD)
         for more in (0, 1):
@@ -101,9 +109,11 @@ def part_signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarra
             owner = np.repeat(np.arange(len(sets)), parts)
             part = np.arange(total) - first[owner]
             sig = mix64(sums + mix64(part.astype(np.uint64) * np.uint64(1_000_003) + band[owner].astype(np.uint64)))
-            drop = empty & (np.bincount(owner[empty], minlength=len(sets)) <= spare)[owner]
-            found.append((sig[~drop], owner[~drop]))
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            none = np.bincount(owner[empty], minlength=len(sets))
+            drop = empty & (none <= spare)[owner]
+            found.append((sig[~drop], owner[~drop] * 2 + more))
+            least[:, more] = np.maximum(classes.shared(size, more) - np.where(none <= spare, none, 0), 1)
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), least
 
 
 def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
@@ -115,21 +125,23 @@ def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
         return mix64(total[ends] - total[ends - size] + size.astype(np.uint64)).view(np.int64)
 
 
-_A = "bucket long, doc long, n long, fp long, data binary"
+_A = "bucket long, doc long, n long, fp long, own long, next long, data binary"
+_A_NAMES = ["bucket", "doc", "n", "fp", "own", "next", "data"]
 
 
 def _sign(n: int, num: int, den: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, classes = Hasher(5), Classes(num, den)
         for batch in batches:
-            prints, sizes, sigs, owners, at = [], [], [], [], 0
+            prints, sizes, sigs, owners, leasts, at = [], [], [], [], [], 0
             for a, b in chunks(utf8_of(batch.column(1))[1], _CHUNK):
                 sets = shingle_sets(batch.column(1).slice(a, b - a), n, hasher)
                 prints.append(fingerprints(sets))
                 sizes += [len(s) for s in sets]
-                sig, owner = part_signatures(sets, classes)
+                sig, owner, least = part_signatures(sets, classes)
                 sigs.append(sig)
-                owners.append((owner + at).astype(np.uint32))
+                owners.append((owner + 2 * at).astype(np.uint32))
+                leasts.append(least)
                 at += b - a
             if not at:
                 continue
@@ -137,7 +149,8 @@ def _sign(n: int, num: int, den: int, buckets: int):
             m = batch.num_rows
             empty = pa.nulls(m, pa.binary())
             spread = pa.array(mix64(fp.view(np.uint64)).view(np.int64) | np.int64(-(2**63)))  # documents are dealt by set
-            yield pa.RecordBatch.from_arrays([spread, batch.column(0), pa.array(sizes, pa.int64()), pa.array(fp), empty], names=["bucket", "doc", "n", "fp", "data"])
+            least = np.concatenate(leasts)
+            yield pa.RecordBatch.from_arrays([spread, batch.column(0), pa.array(sizes, pa.int64()), pa.array(fp), pa.array(least[:, 0]), pa.array(least[:, 1]), empty], names=_A_NAMES)
             bucket = (sig >> np.uint64(48)) % np.uint64(buckets)
             order = np.argsort(bucket.astype(np.uint16), kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -147,23 +160,24 @@ def _sign(n: int, num: int, den: int, buckets: int):
                 if len(own):
                     docs, local = np.unique(owner[own], return_inverse=True)
                     s = sig[own]
-                    blobs.append(np.array([len(docs), len(own)], "<u4").tobytes() + fp[docs].tobytes() + (s & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (s >> np.uint64(32)).astype("<u2").tobytes() + local.astype("<u2" if len(docs) <= 65536 else "<u4").tobytes())
+                    blobs.append(np.array([len(docs), len(own)], "<u4").tobytes() + fp[docs // 2].tobytes() + (docs % 2).astype("u1").tobytes() + (s & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (s >> np.uint64(32)).astype("<u2").tobytes() + local.astype("<u2" if len(docs) <= 65536 else "<u4").tobytes())
                     used.append(k)
             if used:
                 nil = pa.nulls(len(used), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), nil, nil, nil, pa.array(blobs, pa.binary())], names=["bucket", "doc", "n", "fp", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), nil, nil, nil, nil, nil, pa.array(blobs, pa.binary())], names=_A_NAMES)
 
     return run
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     docs, m = np.frombuffer(blob, "<u4", 2).tolist()
     at = 8
     fp = np.frombuffer(blob, np.int64, docs, at)
-    low = np.frombuffer(blob, "<u4", m, at := at + 8 * docs)
+    more = np.frombuffer(blob, "u1", docs, at := at + 8 * docs)
+    low = np.frombuffer(blob, "<u4", m, at := at + docs)
     high = np.frombuffer(blob, "<u2", m, at := at + 4 * m)
     local = np.frombuffer(blob, "<u2" if docs <= 65536 else "<u4", m, at + 2 * m)
-    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), fp[local]
+    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), fp[local], more[local]
 
 
 def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,39 +197,71 @@ def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return names[inner], names[p[inner]]
 
 
-_B = "kind int, a long, b long, c long"
+_B = "kind int, a long, b long, c long, d long, e long"
+_B_NAMES = ["kind", "a", "b", "c", "d", "e"]
 
 
-def _meet():
-    """Rows in order of bucket. Documents pass; of each bucket's signatures, candidates' local components come out."""
+def _shared(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures that stand with two fingerprints or more: (signature, fingerprint, class), each once, in order."""
+    sig, fp, more = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
+    order = np.argsort(sig)
+    twin = np.zeros(len(sig), bool)
+    same = sig[order[1:]] == sig[order[:-1]]
+    twin[1:] |= same
+    twin[:-1] |= same
+    few = order[twin]
+    few = few[np.lexsort((more[few], fp[few], sig[few]))]
+    sig, fp, more = sig[few], fp[few], more[few]
+    first = np.r_[True, (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])] if len(sig) else np.zeros(0, bool)
+    sig, fp, more = sig[first], fp[first], more[first]
+    several = np.zeros(len(sig), bool)
+    same = sig[1:] == sig[:-1]
+    several[1:] |= same
+    several[:-1] |= same
+    return sig[several], fp[several], more[several]
+
+
+def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+    n = len(columns[0])
+    own = [pa.array(c.astype(np.int64)) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *own, *[pa.nulls(n, pa.int64())] * (5 - len(own))], names=_B_NAMES)
+
+
+def _support(blobs: list[bytes]) -> pa.RecordBatch:
+    """(fingerprint, class, parts shared with another set)."""
+    _, fp, more = _shared(blobs)
+    order = np.lexsort((more, fp))
+    fp, more = fp[order], more[order]
+    first = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (more[1:] != more[:-1])]) if len(fp) else np.zeros(0, np.int64)
+    return _rows(1, fp[first], more[first], np.diff(np.append(first, len(fp))))
 
-    def pairs(blobs: list[bytes]) -> pa.RecordBatch | None:
-        sig, fp = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
-        order = np.argsort(sig)
-        sig, fp = sig[order], fp[order]
-        same = np.flatnonzero((sig[1:] == sig[:-1]) & (fp[1:] != fp[:-1]))
-        if not len(same):
-            return None
-        v, root = local_components(fp[same], fp[same + 1])
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(v), np.int32)), pa.array(v), pa.array(root), pa.nulls(len(v), pa.int64())], names=["kind", "a", "b", "c"])
+
+def _neighbours(blobs: list[bytes]) -> pa.RecordBatch:
+    """(fingerprint, smallest fingerprint that this bucket's signatures connect it with)."""
+    sig, fp, _ = _shared(blobs)
+    same = np.flatnonzero(sig[1:] == sig[:-1])
+    return _rows(1, *local_components(fp[same], fp[same + 1]))
+
+
+def _meet(of_bucket):
+    """Rows in order of bucket. Documents pass as kind 0; of each bucket's signatures ``of_bucket`` makes rows of kind 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
         for batch in batches:
             docs = batch.filter(batch.column("data").is_null())
             if docs.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(docs.num_rows, np.int32)), docs.column("doc"), docs.column("n"), docs.column("fp")], names=["kind", "a", "b", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(docs.num_rows, np.int32)), *(docs.column(c) for c in ("doc", "n", "fp", "own", "next"))], names=_B_NAMES)
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
                 if not blob.is_valid:
                     continue
                 if bucket != now and blobs:
-                    if (out := pairs(blobs)) is not None:
-                        yield out
+                    yield of_bucket(blobs)
                     blobs = []
                 now = bucket
                 blobs.append(blob.as_py())
-        if blobs and (out := pairs(blobs)) is not None:
-            yield out
+        if blobs:
+            yield of_bucket(blobs)
 
     return run
 
@@ -225,7 +271,9 @@ def _link(n: int, num: int, den: int):
 
     def links(prints: list[int], texts: list[pa.Array], hasher: Hasher) -> pa.RecordBatch | None:
         sets = [s for t in texts for a, b in chunks(utf8_of(t)[1], _CHUNK) for s in shingle_sets(t.slice(a, b - a), n, hasher)]
-        found = link(sets, num, den)
+        own = np.flatnonzero(fingerprints(sets) == np.array(prints, np.int64)).tolist()  # not the text of another row of that id
+        sets, prints = [sets[i] for i in own], [prints[i] for i in own]
+        found = link(sets, num, den) if sets else []
         if not found:
             return None
         return pa.RecordBatch.from_arrays([pa.array([prints[i] for i, _ in found], pa.int64()), pa.array([prints[j] for _, j in found], pa.int64())], names=["a", "b"])
@@ -254,17 +302,24 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = body.mapInArrow(_sign(n, num, den, min(4 * parts, 65536)), _A)
-    met = materialize(signed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(), _B), "jaccard-met")
-    rows = met.filter("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("fp"))
-    near = connected(met.filter("kind = 1").select("a", "b"), "jaccard-near")
+    buckets = min(4 * parts, 65536)
+    dealt = lambda rows: rows.mapInArrow(_sign(n, num, den, buckets), _A).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    met = materialize(dealt(body).mapInArrow(_meet(_support), _B), "jaccard-met")
+    rows = met.filter("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("fp"), F.col("d").alias("own"), F.col("e").alias("next"))
+    support = met.filter("kind = 1").groupBy(F.col("a").alias("fp")).agg(*[F.sum(F.when(F.col("b") == i, F.col("c")).otherwise(0)).alias(f"s{i}") for i in (0, 1)])
+    # one text of each set that shares enough parts, the one of its smallest document
+    enough = rows.filter("n > 0").join(support, "fp").filter("s0 >= own OR s1 >= next")
+    some = enough.groupBy("fp").agg(F.min("doc").alias("doc"), F.first("n").alias("n"))
+    fetched = body.withColumnRenamed("doc", "_doc").join(some.hint("shuffle_hash"), F.col("_doc") == F.col("doc"))
+    # rows that repeat a document id may bring other texts along; links are only made of texts with the fingerprint they came for
+    texts = materialize(fetched.select("fp", "n", "text"), "jaccard-texts")
+    again = dealt(texts.select(F.col("fp").alias("doc"), "text")).mapInArrow(_meet(_neighbours), _B)
+    near = connected(again.filter("kind = 1").select("a", "b"), "jaccard-near")
     member = near.unionByName(near.select(F.col("root").alias("v"), "root").distinct())
-    # one text of each vertex, the one of its smallest document
-    chosen = rows.filter("n > 0").join(member, rows.fp == member.v).groupBy("fp").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("root").alias("root"))
-    chosen = materialize(chosen, "jaccard-chosen")
+    chosen = materialize(texts.select("fp", "n").distinct().join(member, F.col("fp") == F.col("v")).select("fp", "n", "root"), "jaccard-chosen")
     kind = F.floor(F.log(F.col("n").cast("double")) / F.lit(Classes(num, den).log)).cast("long")
     large = chosen.groupBy("root").agg(F.sum("n").alias("total")).filter(F.col("total") * 8 > block_bytes).select("root")
-    small = chosen.join(large, "root", "left_anti").select("doc", "fp", F.struct("root", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("p"), F.lit(0).alias("q")).alias("work"))
+    small = chosen.join(large, "root", "left_anti").select("fp", F.struct("root", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("p"), F.lit(0).alias("q")).alias("work"))
     banded = chosen.join(large, "root").withColumn("band", kind)
     salts = banded.groupBy("root", "band").agg(F.ceil(F.sum("n") * 16 / block_bytes).cast("int").alias("salts"))
     nearby = banded.select("*", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("other"))
@@ -272,10 +327,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     salted = salted.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("its"))
     lower = (F.col("band") < F.col("other")) | ((F.col("band") == F.col("other")) & (F.col("own") <= F.col("its")))
     pick = lambda a, b: F.when(lower, a).otherwise(b).cast("int")
-    cut = salted.select("doc", "fp", F.struct("root", pick(F.col("band"), F.col("other")).alias("x"), pick(F.col("other"), F.col("band")).alias("y"), pick(F.col("own"), F.col("its")).alias("p"), pick(F.col("its"), F.col("own")).alias("q")).alias("work"))
-    work = small.unionByName(cut).select("doc", "fp", F.xxhash64("work").alias("work"))
-    texts = body.withColumnRenamed("doc", "_doc").join(work.hint("shuffle_hash"), F.col("_doc") == F.col("doc"))
-    brought = texts.select("work", "fp", "text").repartition(parts, "work").sortWithinPartitions("work", "fp")
+    cut = salted.select("fp", F.struct("root", pick(F.col("band"), F.col("other")).alias("x"), pick(F.col("other"), F.col("band")).alias("y"), pick(F.col("own"), F.col("its")).alias("p"), pick(F.col("its"), F.col("own")).alias("q")).alias("work"))
+    work = small.unionByName(cut).select("fp", F.xxhash64("work").alias("work"))
+    brought = texts.select("fp", "text").join(work.hint("shuffle_hash"), "fp").select("work", "fp", "text").repartition(parts, "work").sortWithinPartitions("work", "fp")
     links = brought.mapInArrow(_link(n, num, den), "a long, b long")
     linked = connected(links, "jaccard-links")
     keyed = rows.join(linked, rows.fp == linked.v, "left").select("doc", "n", F.coalesce("root", "fp").alias("key"))
