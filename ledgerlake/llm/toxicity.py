@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +96,31 @@ def _select(rows_of: dict[str, np.ndarray], y: np.ndarray, words: int, least: in
     return [w for z, w in sorted(scored)[:words] if z < -chance]
 
 
+def _rows_of(names: pa.Array, codes: np.ndarray, doc: np.ndarray, least: int) -> dict[str, np.ndarray]:
+    """The rows of each feature of at least ``least`` rows. Only features that can have so many become Python objects."""
+    doc = doc[np.argsort(codes, kind="stable")]
+    count = np.bincount(codes, minlength=len(names)) if len(names) else np.zeros(0, np.int64)
+    ends = np.cumsum(count)
+    texts, words = [names], [np.arange(len(names))]
+    for k in PREFIXES:
+        longer = pc.greater(pc.utf8_length(names), k)
+        texts.append(pc.binary_join_element_wise(pc.utf8_slice_codeunits(names.filter(longer), 0, k), "*", ""))
+        words.append(np.flatnonzero(longer.to_numpy(zero_copy_only=False)))
+    features = pa.concat_arrays([t.cast(pa.string()) for t in texts]).dictionary_encode()
+    of, word = features.indices.to_numpy(zero_copy_only=False), np.concatenate(words)
+    enough = np.bincount(of, weights=count[word], minlength=len(features.dictionary)) >= least
+    some = np.flatnonzero(enough[of])
+    some = some[np.argsort(of[some], kind="stable")]
+    found = {}
+    edges = np.flatnonzero(np.r_[True, of[some][1:] != of[some][:-1], True]) if len(some) else []
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        ws = word[some[lo:hi]]
+        rows = np.unique(np.concatenate([doc[ends[w] - count[w] : ends[w]] for w in ws.tolist()]))
+        if len(rows) >= least:
+            found[features.dictionary[int(of[some[lo]])].as_py()] = rows
+    return found
+
+
 def _probability(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
@@ -131,21 +157,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str
     marked = labels.select(F.col(doc_id).alias("_id"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
     # at most train_rows rows: a bound that holds for any input
     chosen = F.broadcast(marked.orderBy(F.xxhash64("_id"), "_id").limit(train_rows))
-    sample = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(chosen, F.col("_doc") == F.col("_id")).orderBy(F.xxhash64("_id"), "_id", "_text").limit(train_rows)
+    sample = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(chosen, F.col("_doc") == F.col("_id"))
     per_doc = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("_text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    rows = sample.select("_id", *categories, per_doc.alias("words")).toArrow()
+    # more rows than chosen labels can only come of repeated document ids
+    rows = sample.select("_id", *categories, per_doc.alias("words")).limit(train_rows).toArrow().sort_by("_id")
     y = np.stack([rows.column(c).to_numpy().astype(float) for c in categories], axis=1) if len(rows) else np.zeros((0, len(categories)))
     lists = rows.column("words").combine_chunks()
     values = lists.flatten().dictionary_encode()
-    codes, names = values.indices.to_numpy(zero_copy_only=False), values.dictionary.to_pylist()
-    doc = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy())) if len(rows) else np.zeros(0, np.int64)
-    order = np.argsort(codes, kind="stable")
-    edges = np.searchsorted(codes[order], np.arange(len(names) + 1))
-    rows_of: dict[str, list] = {}
-    for i, w in enumerate(names):
-        for f in _features(w):
-            rows_of.setdefault(f, []).append(doc[order[edges[i] : edges[i + 1]]])
-    rows_of = {f: np.unique(np.concatenate(r)) for f, r in rows_of.items() if sum(map(len, r)) >= least_docs}
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(lists.offsets.to_numpy()) if len(rows) else 0)
+    rows_of = _rows_of(values.dictionary, values.indices.to_numpy(zero_copy_only=False), doc, least_docs)
     fold = np.arange(len(rows)) % folds
     models, thresholds, earlier = [], [], np.zeros((len(rows), 0))
     for j in range(len(categories)):
