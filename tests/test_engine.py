@@ -27,24 +27,24 @@ def ids(df):
 
 @pytest.fixture(scope="module")
 def people(spark):
-    rows = [("name", "Jeff Nelson", 1), ("age", 36, 1), ("name", "Ashleah Nelson", 2), ("age", 36, 2), ("name", "Reniya Davis", 3), ("age", 25, 3), ("name", "Cinchapi", 4), ("name", "Blavity", 5)]
-    rows += [("company", Link(4), 1), ("company", Link(5), 1), ("company", Link(5), 3), ("interests", "Blavity", 2)]
+    rows = [("name", "Ada Nelson", 1), ("age", 36, 1), ("name", "Eva Nelson", 2), ("age", 36, 2), ("name", "Rena Davis", 3), ("age", 25, 3), ("name", "Acme", 4), ("name", "Slavia", 5)]
+    rows += [("company", Link(4), 1), ("company", Link(5), 1), ("company", Link(5), 3), ("interests", "Slavia", 2)]
     return reader(spark, [(i, "ADD", k, v, r) for i, (k, v, r) in enumerate(rows)])
 
 
 @pytest.mark.parametrize(
     "condition, n",
-    [("name ~ els", 2), ("name ~ elss", 0), ("name !~ els", 3), ("name !~ elss", 5), ("company.name ~ lavi", 2), ("company.name ~ Blank", 0), ("company.name !~ lavi", 1), ("company.name !~ a", 0), ("company ~ Blav", 0), ("company -> 5", 2), ("age -> 36", 0), ("company.name = BLAVITY", 2), ("age | max > 30", 2), ("age > avg(age)", 2), ("age = max(age, name = reniya davis)", 1), ("age > max(age, name = nobody)", 0), ("age > avg(age, name = nobody)", 3), ("$id$ != 3", 4)],
+    [("name ~ els", 2), ("name ~ elss", 0), ("name !~ els", 3), ("name !~ elss", 5), ("company.name ~ lavi", 2), ("company.name ~ Blank", 0), ("company.name !~ lavi", 1), ("company.name !~ a", 0), ("company ~ Slav", 0), ("company -> 5", 2), ("age -> 36", 0), ("company.name = SLAVIA", 2), ("age | max > 30", 2), ("age > avg(age)", 2), ("age = max(age, name = rena davis)", 1), ("age > max(age, name = nobody)", 0), ("age > avg(age, name = nobody)", 3), ("$id$ != 3", 4)],
 )
 def test_find(people, condition, n):
     assert people.find(condition).count() == n
 
 
 def test_links_and_projection(people):
-    assert ids(people.navigate("company.name", 1).select("str")) == ["Blavity", "Cinchapi"]
+    assert ids(people.navigate("company.name", 1).select("str")) == ["Slavia", "Acme"]
     assert sorted(map(tuple, people.trace([4, 5]).select("record", "source").collect())) == [(4, 1), (5, 1), (5, 3)]
     t = {r.record: r for r in people.table(["company.name", "age"], [1, 2]).collect()}
-    assert t[1]["company.name"] == ["Blavity", "Cinchapi"] or sorted(t[1]["company.name"]) == ["Blavity", "Cinchapi"]
+    assert t[1]["company.name"] == ["Slavia", "Acme"] or sorted(t[1]["company.name"]) == ["Slavia", "Acme"]
     assert t[2]["company.name"] == [] and t[2]["age"] == ["36"]
     assert [r.record for r in people.search("name", "nelson").collect()] == [1, 2]
 
@@ -72,7 +72,7 @@ def test_history(spark):
     assert r.get("k", at=45).first().str == "a"  # the last added
 
 
-MATRIX = [18, 18.0, 18.5, "18", "Jeff", "jeff", "JEFF", True, Link(18), Tag("jeff"), datetime(2024, 1, 1), 4, 20, -3, "50%", "zebra"]
+MATRIX = [18, 18.0, 18.5, "18", "Ada", "ada", "ADA", True, Link(18), Tag("ada"), datetime(2024, 1, 1), 4, 20, -3, "50%", "zebra"]
 
 
 def expected(op, stored, values):
@@ -108,7 +108,7 @@ def test_operators_by_types(spark):
     r = reader(spark, rows)
     from ledgerlake.plans.ccl import where
 
-    for op, v in itertools.product(["=", "!=", ">", ">=", "<", "<=", "regex", "nregex"], [18, 18.5, "jeff", Link(18), True, "m"]):
+    for op, v in itertools.product(["=", "!=", ">", ">=", "<", "<=", "regex", "nregex"], [18, 18.5, "ada", Link(18), True, "m"]):
         want = [i for i, x in enumerate(MATRIX) if expected(op, x, [v])]
         want += [99] * any(expected(op, x, [v]) for x in seen.values())
         assert ids(r.find(where("v").op(op, v))) == want, (op, v)
