@@ -41,10 +41,10 @@ def test_find(people, condition, n):
 
 
 def test_links_and_projection(people):
-    assert ids(people.navigate("company.name", 1).select("str")) == ["Slavia", "Acme"]
+    assert ids(people.navigate("company.name", 1).select("str")) == ["Acme", "Slavia"]
     assert sorted(map(tuple, people.trace([4, 5]).select("record", "source").collect())) == [(4, 1), (5, 1), (5, 3)]
     t = {r.record: r for r in people.table(["company.name", "age"], [1, 2]).collect()}
-    assert t[1]["company.name"] == ["Slavia", "Acme"] or sorted(t[1]["company.name"]) == ["Slavia", "Acme"]
+    assert sorted(t[1]["company.name"]) == ["Acme", "Slavia"]
     assert t[2]["company.name"] == [] and t[2]["age"] == ["36"]
     assert [r.record for r in people.search("name", "nelson").collect()] == [1, 2]
 
