@@ -112,7 +112,7 @@ def part_signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarra
             none = np.bincount(owner[empty], minlength=len(sets))
             drop = empty & (none <= spare)[owner]
             found.append((sig[~drop], owner[~drop] * 2 + more))
-            least[:, more] = np.maximum(classes.shared(size, more) - np.where(none <= spare, none, 0), 1)
+            least[:, more] = np.maximum(classes.shared(size, more) - np.minimum(none, spare), 1)
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), least
 
 

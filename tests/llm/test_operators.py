@@ -299,6 +299,27 @@ def test_jaccard_components(spark, n, num, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute_components(texts, n, num, 100)
 
 
+def test_jaccard_filter_keeps_all_links_at_the_threshold():
+    """Pairs at exactly 0.8, each with no support but from the other: both must share as many parts as the filter asks."""
+    classes, hasher, lost = jaccard_join.Classes(80, 100), textcore.Hasher(5), []
+    for s in (25, 30, 30, 35, 40, 45, 50, 55, 60):
+        words = [[f"p{i}x{k}" for k in range(s + 4)] for i in range(1500)]
+        texts = pa.array([" ".join(x) for w in words for x in (w, w[: len(w) - s // 5])])
+        sets = jaccard_join.shingle_sets(texts, 5, hasher)
+        assert all(100 * len(np.intersect1d(a, b)) == 80 * len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2]))
+        sig, owner, least = jaccard_join.part_signatures(sets, classes)
+        met = {}
+        for h, o in zip(sig.tolist(), owner.tolist()):
+            met.setdefault((h, o // 4), []).append(o)
+        shared = np.zeros((len(sets), 2), int)
+        for own in met.values():
+            if len({o // 2 for o in own}) > 1:
+                for o in own:
+                    shared[o // 2, o % 2] += 1
+        lost += [(s, i) for i, ok in enumerate((shared >= least).any(axis=1).tolist()) if not ok]
+    assert lost == []
+
+
 def test_jaccard_empty_and_keep_one(spark):
     assert jaccard_join.jaccard_components(docs(spark, ["x"]).limit(0)).count() == 0
     frame = docs(spark, ["a b c d e f", "z", "A b c d e f", None, None])
