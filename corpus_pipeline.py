@@ -11,8 +11,8 @@ from ledgerlake.llm.q_op6 import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or whose histograms are too far from their language's, go."""
-    return quality_rules.rules(docs).filter("kept").select(*docs.columns)
+    """Documents that fail the base rules, whose histograms are too far from their language's, or that lack its common words, go."""
+    return quality_rules.rules(docs, least_common=quality_rules.LEAST_COMMON).filter("kept").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

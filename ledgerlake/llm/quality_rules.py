@@ -26,6 +26,8 @@ COMMON = {
 }
 OTHER = "*"
 MIN_WORDS, MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 50, 0.3, 0.45
+#: Of the reference's share of common words; most of the mass is other words, so the distance hardly shows that common ones lack.
+LEAST_COMMON = 0.1
 
 _UPPER, _DIGIT, _MARK = "[A-Z]", "[0-9]", r"""[!"'()+,\-./:;=?@\[\\\]^_`{}~]"""
 _SYMBOL = "[#*$%&|<>]"
@@ -123,8 +125,10 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", min_word
     return agg.select(F.col("_key"), F.array(*[f"c{i}" for i in range(7)]).alias("char_ref"), F.filter(full, lambda x: x.isNotNull()).alias("word_ref"))
 
 
-def rules(docs: DataFrame, text: str = "text", lang: str = "lang", refs: DataFrame | None = None, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance, base_failed, kept."""
+def rules(docs: DataFrame, text: str = "text", lang: str = "lang", refs: DataFrame | None = None, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, least_common: float = 0.0) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance, common_ratio, base_failed, kept.
+
+    ``common_ratio`` is the share of common words by that of the reference; with ``least_common`` a judged text below it fails."""
     refs = references(docs, text, lang, min_words) if refs is None else refs
     spoken = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup = let(spoken, lambda ls: F.size(ls) - F.size(F.array_distinct(ls)))
@@ -132,8 +136,10 @@ def rules(docs: DataFrame, text: str = "text", lang: str = "lang", refs: DataFra
     scored = _histograms(docs, text, lang, True).withColumn("_dup", dup).join(F.broadcast(refs), "_key", "left")
     m = F.col("_m")
     far = lambda own, ref: F.when((m["n_words"] >= min_words) & F.col(ref).isNotNull(), js_distance(m[own], F.col(ref))).otherwise(0.0)
-    out = scored.select(*[F.col(c) for c in docs.columns], *[m[c].cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols")], F.col("_dup").cast("long").alias("n_dup_lines"), m["n_repeat_words"].cast("long").alias("n_repeat_words"), far("char_share", "char_ref").alias("char_distance"), far("word_share", "word_ref").alias("word_distance"))
+    common = lambda shares: 1 - F.element_at(shares, -1)
+    ratio = F.when((m["n_words"] >= min_words) & (common(F.col("word_ref")) > 0), common(m["word_share"]) / common(F.col("word_ref"))).otherwise(1.0)
+    out = scored.select(*[F.col(c) for c in docs.columns], *[m[c].cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols")], F.col("_dup").cast("long").alias("n_dup_lines"), m["n_repeat_words"].cast("long").alias("n_repeat_words"), far("char_share", "char_ref").alias("char_distance"), far("word_share", "word_ref").alias("word_distance"), ratio.alias("common_ratio"))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     # one comparison: a filter on parts of the verdict would be pushed below the histograms and compute them again
-    worst = F.greatest(F.when(failed, 2.0).otherwise(0.0), F.col("char_distance") / max_char, F.col("word_distance") / max_word)
+    worst = F.greatest(F.when(failed, 2.0).otherwise(0.0), F.col("char_distance") / max_char, F.col("word_distance") / max_word, F.when(F.col("common_ratio") < least_common, 2.0).otherwise(0.0))
     return out.withColumn("base_failed", failed).withColumn("kept", worst <= 1.0)

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerlake.llm import bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, quality_rules, secret_scan, signature_tree, textcore, toxicity, warc
 from ledgerlake.llm.common import new_folder
 from ledgerlake.llm.q_op6 import tokenizer_path
@@ -221,6 +222,15 @@ def test_quality(spark):
     assert quality_rules.rules(frame.drop("n_words").limit(0)).count() == 0
 
 
+def test_pipeline_rejects_texts_without_common_words(spark):
+    rng = random.Random(3)
+    usual = "the of and to in a is that it for stone river window paper garden".split()
+    texts = [" ".join(rng.choice(usual[:10] if rng.random() < 0.18 else usual[10:]) for _ in range(120)) for _ in range(60)]
+    odd = [" ".join(rng.choice("erntha thinonwh whreed eronin".split()) for _ in range(n)) for n in (49, 50, 900)]
+    kept = corpus_pipeline.quality(spark, docs(spark, texts + odd, "en").drop("n_words"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(61))  # fewer than 50 words are not judged
+
+
 # ---- 8 decontamination ---------------------------------------------------------------------------------------------------
 def brute_hits(text, items, window=8):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate({c: c + 32 for c in range(65, 91)})) if t else []
