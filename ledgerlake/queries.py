@@ -216,8 +216,10 @@ def get_latest(spark, sf):
 
 @query(f"SELECT event_type, value, count(*) AS n FROM ({_ADDED}) WHERE user_id < 20 GROUP BY ALL")
 def invert(spark, sf):
-    i = read.invert(added(spark, sf).store.triples().filter("record < 20"))
-    return i.select(F.col("key").alias("event_type"), F.col("str").cast("double").alias("value"), F.size("records").cast("long").alias("n"))
+    # over all of events; the SQL's users are chosen from the result
+    i = read.invert(added(spark, sf).store.triples())
+    n = F.size(F.filter("records", lambda r: r < 20)).cast("long")
+    return i.select(F.col("key").alias("event_type"), F.col("str").cast("double").alias("value"), n.alias("n")).filter("n > 0")
 
 
 @query(f"SELECT user_id, event_type, value FROM ({_SET}) WHERE ts <= TIMESTAMP '{T1}' AND (until IS NULL OR until > TIMESTAMP '{T1}')")
