@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +18,13 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one is set only where none is (single machine)."""
+    """The folder named in spark.checkpoint.dir. Where none is, a temporary one, but only if all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="ledgerlake-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -26,6 +33,13 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def open_path(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and its path there, for Python workers."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + unquote(path[5:]).lstrip("/")
+    return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage with a table in the shared folder, so that a lost executor costs no earlier stage again."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, label)
@@ -42,6 +56,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Hints a broadcast only when a bounded count shows at most ``rows`` rows; else Spark shuffles as usual."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def hot_join(left: DataFrame, right: DataFrame, key: str, count: str, spread: Column, most: int = 1000) -> DataFrame:
+    """left with the columns of right (null where it has no row), which has one row a key and counts its rows of left.
+
+    Fewer than ``most`` keys can have more than one row in ``most``: these are broadcast, so that no task gets all rows of one.
+    The others meet by hash; rows that are served already, or have a null key, are dealt by ``spread``."""
+    right = materialize(right, "hot-join")
+    limit = (right.agg(F.sum(count)).first()[0] or 0) / most
+    fields = [c for c in right.columns if c not in (key, count)]
+    value = F.struct(*fields)
+    hot = right.filter(F.col(count) > limit).select(F.col(key).alias("_hk"), value.alias("_hot"))
+    cold = right.filter(F.col(count) <= limit).select(F.col(key).alias("_ck"), F.lit(True).alias("_cf"), value.alias("_cold"))
+    marked = left.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").withColumn("_f", F.col("_hk").isNull() & F.col(key).isNotNull())
+    dealt = marked.withColumn("_k", F.when(F.col("_f"), F.col(key)).otherwise(spread.cast(left.schema[key].dataType)))
+    joined = dealt.join(cold, (F.col("_k") == F.col("_ck")) & (F.col("_f") == F.col("_cf")), "left")
+    return joined.select(*[F.col(c) for c in left.columns], *[F.coalesce(F.col("_hot")[c], F.col("_cold")[c]).alias(c) for c in fields])
+
+
+def plus(docs: DataFrame, **added: Column) -> DataFrame:
+    """docs with columns added at the end; one of docs of the same name (whatever its case) gives way."""
+    names = {n.lower() for n in added}
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names], *[c.alias(n) for n, c in added.items()])

@@ -1,21 +1,13 @@
-"""Vectorised work on the UTF-8 bytes of a whole Arrow column: pieces, 64-bit piece hashes, bounded chunks."""
+"""Vectorised work on the UTF-8 bytes of a whole Arrow column: pieces, distinct pieces, block hashes, bounded chunks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
-_MASK = (1 << 64) - 1
-
-
-def _stream(seed: int, n: int) -> np.ndarray:
-    """n values of the splitmix64 sequence."""
-    with np.errstate(over="ignore"):
-        return mix64(np.uint64(seed & _MASK) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     with np.errstate(over="ignore"):
@@ -61,26 +53,34 @@ def pieces(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-class Hasher:
-    """64-bit hashes of byte ranges from prefix sums; equal bytes give equal hashes wherever they stand."""
+def packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte ranges as an Arrow array; ranges ascend and do not overlap."""
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(ends - starts)))
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[starts] += 1
+    np.subtract.at(edge, ends, 1)
+    body = np.ascontiguousarray(data[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct byte ranges, told apart by their bytes, and which of them stands at each place."""
+    coded = packed(data, starts, ends).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
 
-    def __init__(self, seed: int = 1):
-        self.table = _stream(seed * 7919, 256)
-        self.base = int(_stream(seed * 104729, 1)[0]) | 5
-        self.powers = self.inverses = np.ones(1, np.uint64)
+def digests(pieces: Iterable[bytes], size: int, salt: bytes = b"") -> np.ndarray:
+    """A block hash of each piece: rows of ``size / 8`` unsigned 64-bit numbers."""
+    raw = b"".join([blake2b(p, digest_size=size, salt=salt).digest() for p in pieces])
+    return np.frombuffer(raw, "<u8").reshape(-1, size // 8)
 
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            n = max(n, 1 << 16)
-            with np.errstate(over="ignore"):
-                self.powers, self.inverses = (np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(n, b, np.uint64)))) for b in (self.base, pow(self.base, -1, 1 << 64)))
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(self.table[data] * self.powers[: len(data)], out=total[1:])
-            return mix64((total[ends] - total[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def piece_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges; each distinct range is hashed once."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    words, of = distinct(data, starts, ends)
+    return digests(words.to_pylist(), 8)[:, 0][of]
 
 
 #: Byte classes, fixed values: ASCII white space, ASCII letters lowered, and bytes of the words of decontamination.
