@@ -5,28 +5,32 @@ counted over all training texts. A text's code length under a language's frozen
 at each byte the longest known context predicts it, or an escape is paid and the next shorter context tries, down to a
 uniform byte. The language of the shortest code wins; the score is its posterior probability under equal priors.
 
-The tree is a table of its nodes. To score by array look-ups, the code length of each known (context, byte) under every
-language is tabulated once, with all escapes paid; unknown ones are put together from shorter contexts, exactly.
-What is broadcast is bounded: each language keeps at most ``nodes`` of its most frequent (context, byte) pairs of the
-longest order (ties by the pair), at most 2^24 and 2^16 pairs of the shorter ones can exist, and languages are at most ``languages``, the most frequent.
+The tree is a table of nodes, (language, four bytes, count), written to the shared folder; no node and no language is left
+out. The counts of shorter contexts are sums of it. A tree of at most ``cells`` (distinct grams times languages) is broadcast
+and scored by array look-ups. A larger one stays a table: the distinct grams of the texts get their code lengths by joins with
+the nodes and contexts of each order, and each text's sum is a join of its grams with those. Both ways give the same bits.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any training text all are ``und``;
-ties go to the first language by name; repeated rows count and are predicted alike; other columns are ignored.
+ties go to the first language by name; repeated rows count and are predicted alike; other columns are ignored; a text of
+any length is scored whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hot_join, materialize
 from .textcore import chunks, utf8_of
 
 _CHUNK = 1 << 19
-NODES, LANGUAGES = 200_000, 32
+#: Distinct grams times languages of a tree that is broadcast (16 MB of code lengths).
+CELLS = 4_000_000
 UNDETERMINED = "und"
 
 
@@ -53,12 +57,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, n = np.unique(np.concatenate(parts), return_counts=True)
             for at in range(0, len(grams), 1 << 16):
                 g = grams[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)).dictionary_encode().dictionary_decode(), pa.array(g.astype(np.int64)), pa.array(n[at : at + (1 << 16)])], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g)), pa.array(g.astype(np.int64)), pa.array(n[at : at + (1 << 16)])], names=["lang", "gram", "n"])
         held.clear()
 
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
-        for lang in set(langs.tolist()):
+        for lang in sorted(set(langs.tolist())):
             texts = batch.column(1).filter(pa.array(langs == lang))
             data, offsets = utf8_of(texts)
             for a, b in chunks(offsets, _CHUNK):
@@ -148,16 +152,28 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, text: Column, lang: Column, nodes: int = NODES, languages: int = LANGUAGES) -> Model:
-    """The model of all rows of docs whose lang is not null."""
+class Tree:
+    """All nodes (lang, gram, n) of the longest order, and the same as arrays if they are few enough to broadcast."""
+
+    def __init__(self, nodes: DataFrame, languages: list[str], model: Model | None):
+        self.nodes, self.languages, self.model = nodes, languages, model
+
+
+def train(docs: DataFrame, text: Column, lang: Column, cells: int = CELLS) -> Tree:
+    """The tree of all rows of docs whose lang is not null, over every language there is."""
     rows = docs.select(lang.alias("lang"), F.lower(text).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    grams = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = grams.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= nodes).select("lang", "gram", "n").toPandas()
-    weight = kept.groupby("lang")["n"].sum()
-    names = sorted(sorted(weight.index, key=lambda x: (-weight[x], x))[:languages])
-    parts = {k: v for k, v in kept.groupby("lang")}
-    return Model(names, [(parts[k]["gram"].to_numpy().astype(np.uint64), parts[k]["n"].to_numpy().astype(float)) for k in names])
+    counted = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    nodes = materialize(counted, "language-nodes")
+    languages = sorted(r[0] for r in nodes.select("lang").distinct().collect())
+    if nodes.select("gram").distinct().count() * len(languages) > cells:
+        return Tree(nodes, languages, None)
+    held = nodes.select(_number(languages).alias("l"), F.col("gram"), F.col("n")).toArrow()  # at most ``cells`` rows
+    of, gram, n = (held.column(c).to_numpy() for c in ("l", "gram", "n"))
+    return Tree(nodes, languages, Model(languages, [(gram[of == j].astype(np.uint64), n[of == j].astype(float)) for j in range(len(languages))]))
+
+
+def _number(languages: list[str]) -> Column:
+    return F.coalesce(F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1, F.lit(-1)).cast("int") if languages else F.lit(-1)
 
 
 def _predict(model_of):
@@ -192,8 +208,60 @@ def _predict(model_of):
     return run
 
 
-def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _text_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, text); out: (key, gram, n) of each whole text."""
+    for batch in batches:
+        data, offsets = utf8_of(batch.column(1))
+        for i in range(batch.num_rows):
+            grams, n = np.unique(_grams(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]])), return_counts=True)
+            if len(grams):
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(grams)), pa.array(grams.astype(np.int64)), pa.array(n)], names=["key", "gram", "n"])
+
+
+def code_lengths(grams: DataFrame, nodes: DataFrame, languages: list[str]) -> DataFrame:
+    """grams (gram) with cost array<float>, one a language, by joins with the nodes and contexts of each order."""
+    numbered = nodes.select(_number(languages).alias("l"), "gram", "n")
+    out = grams
+    for k in (3, 2, 1, 0):
+        low = (1 << (8 * (k + 1))) - 1
+        own = numbered.groupBy("l", F.col("gram").bitwiseAND(F.lit(low)).alias("g")).agg(F.sum("n").alias("n"))
+        contexts = own.groupBy("l", F.shiftright("g", 8).alias("c")).agg(F.sum("n").alias("t"), F.count("*").alias("d"))
+        pay = contexts.groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("l", (-F.log2(F.col("d") / (F.col("t") + F.col("d")))).alias("e")))).alias(f"_e{k}")).withColumnRenamed("c", f"_c{k}")
+        direct = own.withColumn("c", F.shiftright("g", 8)).join(contexts, ["l", "c"]).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("l", (-F.log2(F.col("n") / (F.col("t") + F.col("d")))).alias("b")))).alias(f"_d{k}")).withColumnRenamed("g", f"_g{k}")
+        if k < 2:  # at most 65,536 grams and 256 contexts, whatever the table's size
+            pay, direct = F.broadcast(pay), F.broadcast(direct)
+        gram = F.col("gram").bitwiseAND(F.lit(low))
+        out = out.join(direct, gram == F.col(f"_g{k}"), "left").join(pay, F.shiftright(gram, 8) == F.col(f"_c{k}"), "left")
+
+    def cost(l: Column) -> Column:
+        return reduce(lambda lower, k: F.coalesce(F.col(f"_d{k}")[l], F.coalesce(F.col(f"_e{k}")[l], F.lit(0.0)) + lower), range(4), F.lit(8.0)).cast("float")
+
+    return out.select("gram", F.transform(F.sequence(F.lit(0), F.lit(len(languages) - 1)), cost).alias("cost"))
+
+
+def _by_join(rows: DataFrame, tree: Tree) -> DataFrame:
+    """(row, lang_pred, score) with the nodes as a table. Equal texts are summed once."""
+    keyed = rows.withColumn("key", F.md5(F.coalesce("text", F.lit(""))))
+    texts = keyed.filter("text <> ''").select("key", "text").mapInArrow(_text_grams, "key string, gram long, n long")
+    pairs = materialize(texts.groupBy("key", "gram").agg(F.max("n").alias("n")), "language-grams")
+    costs = materialize(code_lengths(pairs.select("gram").distinct(), tree.nodes, tree.languages), "language-costs")
+    counted = pairs.groupBy("gram").agg(F.count("*").alias("_rows")).join(costs, "gram")
+    each = hot_join(pairs, counted, "gram", "_rows", F.xxhash64("key"))
+    sums = each.groupBy("key").agg(F.array(*[F.sum(F.col("n") * F.col("cost")[j].cast("double")) for j in range(len(tree.languages))]).alias("bits"))
+    names = F.array(*map(F.lit, tree.languages))
+    odds = F.aggregate(F.col("bits"), F.lit(0.0), lambda a, b: a + F.pow(F.lit(2.0), F.array_min("bits") - b))
+    best = sums.select("key", F.get(names, F.array_position("bits", F.array_min("bits")).cast("int") - 1).alias("best"), (1 / odds).alias("own"))
+    said = F.col("letters") & F.col("best").isNotNull()
+    known = best.join(keyed.groupBy("key").agg(F.count("*").alias("_rows")), "key")
+    whole = hot_join(keyed.select("row", "key", "letters"), known, "key", "_rows", F.xxhash64("row"))
+    return whole.select("row", F.when(said, F.col("best")).otherwise(UNDETERMINED).alias("lang_pred"), F.when(said, F.col("own")).otherwise(0.0).alias("score"))
+
+
+def predict(docs: DataFrame, tree: Tree, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) from the texts alone."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("row"), F.lower(text).alias("text"), F.col(text).rlike(r"\p{L}").alias("letters"))
-    out = rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), "row long, lang_pred string, score double")
+    rows = docs.select(F.col(doc_id).cast("long").alias("row"), F.lower(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    if tree.model is None:
+        out = _by_join(rows, tree)
+    else:
+        out = rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(tree.model)), "row long, lang_pred string, score double")
     return out.withColumnRenamed("row", doc_id)
