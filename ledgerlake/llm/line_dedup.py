@@ -1,6 +1,6 @@
 """Line dedup over range-partitioned line hashes.
 
-Each line that is long enough gives one row (128-bit hash of its key, document, position). The rows are range-partitioned
+Each line that is long enough gives one row (128-bit block hash of its key, document, position). The rows are range-partitioned
 by (hash, document), sorted by hash, then document from the largest, then position, and streamed once: the first
 document of a hash keeps its lines, all others drop theirs if the hash stands in enough documents. A hash whose rows
 cross a partition's edge, as those of a very common line do, is settled from one summary per partition and edge.
@@ -8,7 +8,7 @@ The result is a run-length compressed keep bitmap per document, never text.
 
 Defined results: a null text is one empty line; a null document id is one document, smaller than any other; rows that
 repeat a document id are told apart by their text and count as one document; an empty table gives an empty result;
-other columns are ignored.
+other columns are ignored. A text of any length is worked on whole; a text that is longer than a chunk is a chunk of its own.
 """
 
 from __future__ import annotations
@@ -20,17 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .textcore import IS_SPACE, LOWER, Hasher, chunks, utf8_of
+from .common import let, materialize, plus
+from .textcore import IS_SPACE, LOWER, chunks, digests, utf8_of
 
 _CHUNK = 2 << 20
+#: Bitmaps up to this size are broadcast.
+BROADCAST_BYTES = 16 << 20
 _KEYS = "h1 long, h2 long, doc long, text_hash long, pos int"
 _OUT = "kind string, h1 long, h2 long, doc long, text_hash long, pos int, docs long"
 
 
 def _line_keys(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second = Hasher(1), Hasher(2)
         for batch in batches:
             data, offsets = utf8_of(batch.column(0))
             doc, text_hash = batch.column(1), batch.column(2)
@@ -54,8 +55,10 @@ def _line_keys(least: int):
                 full = points[ends] - points[starts] >= least
                 row, pos, starts, ends = row[full], pos[full], starts[full], ends[full]
                 at = pa.array(row + lo)
+                raw = memoryview(np.ascontiguousarray(part))
+                h = digests((raw[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)), 16).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(first(part, starts, ends).view(np.int64)), pa.array(second(part, starts, ends).view(np.int64)), doc.take(at), text_hash.take(at), pa.array(pos.astype(np.int32))],
+                    [pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), doc.take(at), text_hash.take(at), pa.array(pos.astype(np.int32))],
                     names=["h1", "h2", "doc", "text_hash", "pos"],
                 )
 
@@ -174,14 +177,16 @@ def keep_lines(lines: Column, keep_runs: Column) -> Column:
         spans = F.concat(k["spans"], F.array(F.struct(k["at"].alias("at"), F.greatest(F.size(ls) - k["at"] + 1, F.lit(0)).alias("n"))))
         return F.flatten(F.transform(spans, lambda s: F.slice(ls, s["at"], s["n"])))
 
-    from .common import let
-
     return let(lines, lambda ls: let(kept(keep_runs), lambda k: cut(ls, k)))
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with keep_runs (null: all lines stay). Only the small side of the join is hashed; texts are not sorted."""
-    right = bitmaps.select(F.col(doc_id).alias("_doc"), F.col("text_hash").alias("_hash"), "keep_runs").hint("shuffle_hash")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs with keep_runs (null: all lines stay), which takes the place of a column of that name.
+
+    Bitmaps of up to ``most_bytes`` are broadcast, so that no text moves; else the small side of the join is hashed."""
+    right = materialize(bitmaps.select(F.col(doc_id).alias("_doc"), F.col("text_hash").alias("_hash"), F.col("keep_runs").alias("_runs")), "line-bitmaps")
+    held = right.agg(F.sum(F.size("_runs") * 4 + 32)).first()[0] or 0
     left = docs.withColumn("_th", F.xxhash64(text))
     on = F.col(doc_id).cast("long").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_hash"))
-    return left.join(right, on, "left").drop("_doc", "_hash", "_th")
+    joined = left.join(F.broadcast(right) if held <= most_bytes else right.hint("shuffle_hash"), on, "left")
+    return plus(joined, keep_runs=F.col("_runs")).drop("_doc", "_hash", "_th", "_runs")
