@@ -1,17 +1,20 @@
 """N-gram Jaccard join: which documents are connected by links of near-equal shingle sets, exactly.
 
-1. Each document's set of word shingles gives a fingerprint (equal sets are one vertex) and part signatures: the tokens are
-   dealt into k parts by hash, k greater than the number of tokens by which two linked sets of that size class can differ, so
-   that two linked sets agree in a whole part, and in more the nearer their sizes. Signatures meet in buckets; a set that
-   shares too few of its parts with any other set has no link. Of each set that is left one text is fetched.
+1. Each document's set of word shingles gives a 128-bit fingerprint (equal sets are one vertex) and part signatures: the
+   tokens are dealt into k parts by hash, k greater than the number of tokens by which two linked sets of that size class can
+   differ, so that two linked sets agree in a whole part, and in more the nearer their sizes. Signatures meet in buckets; a
+   set that shares too few of its parts with any other set has no link. Of each set that is left one text is fetched.
 2. Those sets' signatures meet again, among themselves; connected components of what they share are the pieces of work.
 3. In a component a signature tree finds the links (signature_tree). Components that are too large for a task are cut into
-   blocks by size class and salt, and every pair of blocks that can hold a link is one piece of work.
-4. Links' components, with all documents of each fingerprint, are the result.
+   blocks by size class and salt: first each block is linked within itself, then one set of each part so found with those of
+   other blocks; only pairs of blocks that are not yet all of one part are compared as a whole.
+4. Links' components, with all documents of each fingerprint, are the result; keys of many rows are joined by broadcast.
 
 Defined results: null or empty texts, or texts without words, have an empty set and are linked with nothing; fewer words
-than a shingle make one shingle; equal sets are linked; rows that repeat a document id are one document if their sets are
-equal, else each row stands for itself with that id; an empty table gives an empty result; other columns are ignored.
+than a shingle make one shingle; equal sets are linked; a null document id takes part like any other and is the component's
+id only where there is no other; rows that repeat a document id and text are one document; rows of one id with other texts
+stand for themselves with that id; an empty table gives an empty result; other columns are ignored; texts of any length are
+worked on whole.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hot_join, materialize
 from .components import connected
 from .signature_tree import link
-from .textcore import IS_SPACE, LOWER, Hasher, chunks, mix64, pieces, utf8_of
+from .textcore import IS_SPACE, LOWER, chunks, mix64, piece_hashes, pieces, utf8_of
 
 _CHUNK = 2 << 20
 #: Texts of a block: what a task holds at once is a few times this.
@@ -35,12 +38,12 @@ BLOCK_BYTES = 24 << 20
 _ODD = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def shingle_sets(column: pa.Array, n: int, hasher: Hasher) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, n: int) -> list[np.ndarray]:
     """Of each text the sorted distinct hashes of its word n-grams."""
     data, offsets = utf8_of(column)
     low = LOWER[data]
     starts, ends, row = pieces(~IS_SPACE[low], offsets)
-    words = hasher(low, starts, ends)
+    words = piece_hashes(low, starts, ends)
     per_doc = np.bincount(row, minlength=len(column))
     first = np.cumsum(per_doc) - per_doc
     rolled = words.copy()
@@ -117,25 +120,41 @@ def part_signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarra
 
 
 def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """Rows of two numbers, together below 2^126, so that Spark holds them as decimals."""
     size = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if size.sum() else np.zeros(0, np.uint64)
+    ends = np.cumsum(size)
+    out = np.empty((len(sets), 2), np.uint64)
     with np.errstate(over="ignore"):
-        flat = mix64(np.concatenate(sets) ^ np.uint64(0x5851F42D4C957F2D)) if size.sum() else np.zeros(0, np.uint64)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(flat)))
-        ends = np.cumsum(size)
-        return mix64(total[ends] - total[ends - size] + size.astype(np.uint64)).view(np.int64)
+        for i, odd in enumerate((np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(flat ^ odd))))
+            out[:, i] = mix64(total[ends] - total[ends - size] + size.astype(np.uint64) * odd)
+    out[:, 1] &= np.uint64((1 << 62) - 1)
+    return out
+
+
+def decimals(fp: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(fp), [None, pa.py_buffer(np.ascontiguousarray(fp, "<u8"))])
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(column.buffers()[1], "<u8", 2 * len(column), 16 * column.offset).reshape(-1, 2) if len(column) else np.zeros((0, 2), np.uint64)
 
 
-_A = "bucket long, doc long, n long, fp long, own long, next long, data binary"
-_A_NAMES = ["bucket", "doc", "n", "fp", "own", "next", "data"]
+_FP = "decimal(38,0)"
+_A = f"bucket long, doc long, th long, n long, fp {_FP}, own long, next long, data binary"
+_A_NAMES = ["bucket", "doc", "th", "n", "fp", "own", "next", "data"]
 
 
 def _sign(n: int, num: int, den: int, buckets: int):
+    """Rows (doc, th, text). Out: each document's set, then the signatures of the batch by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, classes = Hasher(5), Classes(num, den)
+        classes = Classes(num, den)
         for batch in batches:
             prints, sizes, sigs, owners, leasts, at = [], [], [], [], [], 0
-            for a, b in chunks(utf8_of(batch.column(1))[1], _CHUNK):
-                sets = shingle_sets(batch.column(1).slice(a, b - a), n, hasher)
+            for a, b in chunks(utf8_of(batch.column(2))[1], _CHUNK):
+                sets = shingle_sets(batch.column(2).slice(a, b - a), n)
                 prints.append(fingerprints(sets))
                 sizes += [len(s) for s in sets]
                 sig, owner, least = part_signatures(sets, classes)
@@ -147,10 +166,9 @@ def _sign(n: int, num: int, den: int, buckets: int):
                 continue
             fp, sig, owner = np.concatenate(prints), np.concatenate(sigs), np.concatenate(owners)
             m = batch.num_rows
-            empty = pa.nulls(m, pa.binary())
-            spread = pa.array(mix64(fp.view(np.uint64)).view(np.int64) | np.int64(-(2**63)))  # documents are dealt by set
+            spread = pa.array(mix64(fp[:, 0]).view(np.int64) | np.int64(-(2**63)))  # documents are dealt by set
             least = np.concatenate(leasts)
-            yield pa.RecordBatch.from_arrays([spread, batch.column(0), pa.array(sizes, pa.int64()), pa.array(fp), pa.array(least[:, 0]), pa.array(least[:, 1]), empty], names=_A_NAMES)
+            yield pa.RecordBatch.from_arrays([spread, batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), decimals(fp), pa.array(least[:, 0]), pa.array(least[:, 1]), pa.nulls(m, pa.binary())], names=_A_NAMES)
             bucket = (sig >> np.uint64(48)) % np.uint64(buckets)
             order = np.argsort(bucket.astype(np.uint16), kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -164,7 +182,7 @@ def _sign(n: int, num: int, den: int, buckets: int):
                     used.append(k)
             if used:
                 nil = pa.nulls(len(used), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), nil, nil, nil, nil, nil, pa.array(blobs, pa.binary())], names=_A_NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), nil, nil, nil, pa.nulls(len(used), pa.decimal128(38, 0)), nil, nil, pa.array(blobs, pa.binary())], names=_A_NAMES)
 
     return run
 
@@ -172,37 +190,33 @@ def _sign(n: int, num: int, den: int, buckets: int):
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     docs, m = np.frombuffer(blob, "<u4", 2).tolist()
     at = 8
-    fp = np.frombuffer(blob, np.int64, docs, at)
-    more = np.frombuffer(blob, "u1", docs, at := at + 8 * docs)
+    fp = np.frombuffer(blob, "<u8", 2 * docs, at).reshape(-1, 2)
+    more = np.frombuffer(blob, "u1", docs, at := at + 16 * docs)
     low = np.frombuffer(blob, "<u4", m, at := at + docs)
     high = np.frombuffer(blob, "<u2", m, at := at + 4 * m)
     local = np.frombuffer(blob, "<u2" if docs <= 65536 else "<u4", m, at + 2 * m)
     return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), fp[local], more[local]
 
 
-def local_components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(vertex, smallest vertex of its component) for vertices that are not the smallest."""
-    names, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = flat[: len(a)], flat[len(a) :]
-    p = np.arange(len(names))
+def local_components(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest vertex of each vertex's component."""
+    p = np.arange(n)
     while True:
         u, v = p[x], p[y]
         apart = u != v
         if not apart.any():
-            break
+            return p
         np.minimum.at(p, np.maximum(u, v)[apart], np.minimum(u, v)[apart])
         while (p[p] != p).any():
             p = p[p]
-    inner = p != np.arange(len(names))
-    return names[inner], names[p[inner]]
 
 
-_B = "kind int, a long, b long, c long, d long, e long"
-_B_NAMES = ["kind", "a", "b", "c", "d", "e"]
+_B = f"kind int, fp {_FP}, other {_FP}, doc long, th long, n long, own long, next long"
+_B_NAMES = ["kind", "fp", "other", "doc", "th", "n", "own", "next"]
 
 
-def _shared(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures that stand with two fingerprints or more: (signature, fingerprint, class), each once, in order."""
+def _shared(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures that stand with two sets or more: (signature, set, class), each once, in order; and the sets' fingerprints."""
     sig, fp, more = (np.concatenate(x) for x in zip(*map(_unpack, blobs), strict=True))
     order = np.argsort(sig)
     twin = np.zeros(len(sig), bool)
@@ -210,37 +224,45 @@ def _shared(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     twin[1:] |= same
     twin[:-1] |= same
     few = order[twin]
-    few = few[np.lexsort((more[few], fp[few], sig[few]))]
     sig, fp, more = sig[few], fp[few], more[few]
-    first = np.r_[True, (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])] if len(sig) else np.zeros(0, bool)
-    sig, fp, more = sig[first], fp[first], more[first]
+    by = np.lexsort((fp[:, 0], fp[:, 1]))
+    first = np.ones(len(by), bool)
+    first[1:] = (fp[by[1:]] != fp[by[:-1]]).any(axis=1)
+    of = np.empty(len(by), np.int64)
+    of[by] = np.cumsum(first) - 1
+    names = fp[by[first]]
+    few = np.lexsort((more, of, sig))
+    sig, of, more = sig[few], of[few], more[few]
+    first = np.r_[True, (sig[1:] != sig[:-1]) | (of[1:] != of[:-1])] if len(sig) else np.zeros(0, bool)
+    sig, of, more = sig[first], of[first], more[first]
     several = np.zeros(len(sig), bool)
     same = sig[1:] == sig[:-1]
     several[1:] |= same
     several[:-1] |= same
-    return sig[several], fp[several], more[several]
+    return sig[several], of[several], more[several], names
 
 
-def _rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
-    n = len(columns[0])
-    own = [pa.array(c.astype(np.int64)) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *own, *[pa.nulls(n, pa.int64())] * (5 - len(own))], names=_B_NAMES)
+def _rows(kind: int, fp: np.ndarray, other: np.ndarray | None = None, n: np.ndarray | None = None, own: np.ndarray | None = None) -> pa.RecordBatch:
+    m = len(fp)
+    nil = pa.nulls(m, pa.int64())
+    columns = [decimals(fp), pa.nulls(m, pa.decimal128(38, 0)) if other is None else decimals(other), nil, nil, *(nil if x is None else pa.array(x.astype(np.int64)) for x in (n, own)), nil]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), *columns], names=_B_NAMES)
 
 
 def _support(blobs: list[bytes]) -> pa.RecordBatch:
     """(fingerprint, class, parts shared with another set)."""
-    _, fp, more = _shared(blobs)
-    order = np.lexsort((more, fp))
-    fp, more = fp[order], more[order]
-    first = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (more[1:] != more[:-1])]) if len(fp) else np.zeros(0, np.int64)
-    return _rows(1, fp[first], more[first], np.diff(np.append(first, len(fp))))
+    _, of, more, names = _shared(blobs)
+    both, n = np.unique(of * 2 + more, return_counts=True)
+    return _rows(1, names[both // 2], n=n, own=both % 2)
 
 
 def _neighbours(blobs: list[bytes]) -> pa.RecordBatch:
-    """(fingerprint, smallest fingerprint that this bucket's signatures connect it with)."""
-    sig, fp, _ = _shared(blobs)
+    """(fingerprint, one that this bucket's signatures connect it with)."""
+    sig, of, _, names = _shared(blobs)
     same = np.flatnonzero(sig[1:] == sig[:-1])
-    return _rows(1, *local_components(fp[same], fp[same + 1]))
+    root = local_components(len(names), of[same], of[same + 1])
+    inner = np.flatnonzero(root != np.arange(len(names)))
+    return _rows(1, names[inner], names[root[inner]])
 
 
 def _meet(of_bucket):
@@ -250,8 +272,9 @@ def _meet(of_bucket):
         now, blobs = None, []
         for batch in batches:
             docs = batch.filter(batch.column("data").is_null())
-            if docs.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(docs.num_rows, np.int32)), *(docs.column(c) for c in ("doc", "n", "fp", "own", "next"))], names=_B_NAMES)
+            m = docs.num_rows
+            if m:
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), docs.column("fp"), pa.nulls(m, pa.decimal128(38, 0)), *(docs.column(c) for c in ("doc", "th", "n", "own", "next"))], names=_B_NAMES)
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
                 if not blob.is_valid:
                     continue
@@ -269,76 +292,127 @@ def _meet(of_bucket):
 def _link(n: int, num: int, den: int):
     """Rows (work, fp, text) in order of work; out: verified links between fingerprints."""
 
-    def links(prints: list[int], texts: list[pa.Array], hasher: Hasher) -> pa.RecordBatch | None:
-        sets = [s for t in texts for a, b in chunks(utf8_of(t)[1], _CHUNK) for s in shingle_sets(t.slice(a, b - a), n, hasher)]
-        own = np.flatnonzero(fingerprints(sets) == np.array(prints, np.int64)).tolist()  # not the text of another row of that id
-        sets, prints = [sets[i] for i in own], [prints[i] for i in own]
-        found = link(sets, num, den) if sets else []
+    def links(prints: list[np.ndarray], texts: list[pa.Array]) -> pa.RecordBatch | None:
+        sets = [s for t in texts for a, b in chunks(utf8_of(t)[1], _CHUNK) for s in shingle_sets(t.slice(a, b - a), n)]
+        fp = np.concatenate(prints)
+        found = link(sets, num, den)
         if not found:
             return None
-        return pa.RecordBatch.from_arrays([pa.array([prints[i] for i, _ in found], pa.int64()), pa.array([prints[j] for _, j in found], pa.int64())], names=["a", "b"])
+        a, b = np.array(found).T
+        return pa.RecordBatch.from_arrays([decimals(fp[a]), decimals(fp[b])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, now, prints, texts = Hasher(5), None, [], []
+        now, prints, texts = None, [], []
         for batch in batches:
             work = batch.column("work").to_pylist()
             edges = [0, *(i for i in range(1, len(work)) if work[i] != work[i - 1]), len(work)] if work else []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 if work[lo] != now and prints:
-                    if (out := links(prints, texts, hasher)) is not None:
+                    if (out := links(prints, texts)) is not None:
                         yield out
                     prints, texts = [], []
                 now = work[lo]
-                prints += batch.column("fp").slice(lo, hi - lo).to_pylist()
+                prints.append(numbers(batch.column("fp").slice(lo, hi - lo)))
                 texts.append(batch.column("text").slice(lo, hi - lo))
-        if prints and (out := links(prints, texts, hasher)) is not None:
+        if prints and (out := links(prints, texts)) is not None:
             yield out
 
     return run
 
 
+class _Join:
+    """One run of the join over (doc, th, text)."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, n: int, num: int, den: int, block_bytes: int):
+        self.n, self.num, self.den, self.block_bytes = n, num, den, block_bytes
+        self.parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.body = docs.select(F.col(doc_id).cast("long").alias("doc"), F.xxhash64(text).alias("th"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        buckets = min(4 * self.parts, 65536)
+        return rows.mapInArrow(_sign(self.n, self.num, self.den, buckets), _A).repartition(self.parts, "bucket").sortWithinPartitions("bucket")
+
+    def sets(self) -> tuple[DataFrame, DataFrame]:
+        """Every document's set (doc, th, n, fp), and (fp, n, text) of each set that shares enough parts with another."""
+        met = materialize(self._dealt(self.body).mapInArrow(_meet(_support), _B), "jaccard-met")
+        rows = met.filter("kind = 0").select("doc", "th", "n", "fp", "own", "next")
+        support = met.filter("kind = 1").groupBy("fp").agg(*[F.sum(F.when(F.col("own") == i, F.col("n")).otherwise(0)).alias(f"s{i}") for i in (0, 1)])
+        enough = rows.filter("n > 0").join(support, "fp").filter("s0 >= own OR s1 >= next")
+        some = enough.groupBy("fp").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("id"), F.col("th"))).alias("at"), F.first("n").alias("n"))
+        body = self.body.select(F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("id"), "th", "text")
+        fetched = body.join(some.select("at.*", "fp", "n").hint("shuffle_hash"), ["none", "id", "th"]).dropDuplicates(["none", "id", "th"])
+        return rows.select("doc", "th", "n", "fp"), materialize(fetched.select("fp", "n", "text"), "jaccard-texts")
+
+    def _linked(self, texts: DataFrame, work: DataFrame) -> DataFrame:
+        """Verified links (a, b) within each piece of work (fp, work)."""
+        brought = texts.select("fp", "text").join(work.hint("shuffle_hash"), "fp").select("work", "fp", "text").repartition(self.parts, "work").sortWithinPartitions("work", "fp")
+        return brought.mapInArrow(_link(self.n, self.num, self.den), f"a {_FP}, b {_FP}")
+
+    def links(self, texts: DataFrame) -> DataFrame:
+        """Verified links (a, b) that join all sets that are connected."""
+        nothing = texts.select(F.lit(None).cast("long").alias("doc"), F.lit(0).cast("long").alias("th"), "text")
+        near = connected(self._dealt(nothing).mapInArrow(_meet(_neighbours), _B).filter("kind = 1").select(F.col("fp").alias("a"), F.col("other").alias("b")), "jaccard-near")
+        member = near.unionByName(near.select(F.col("root").alias("v"), "root").distinct())
+        chosen = materialize(texts.select("fp", "n").join(member, F.col("fp") == F.col("v")).select("fp", "n", "root"), "jaccard-chosen")
+        large = materialize(chosen.groupBy("root").agg(F.sum("n").alias("total")).filter(F.col("total") * 8 > self.block_bytes).select("root"), "jaccard-large")
+        if large.isEmpty():
+            return self._linked(texts, chosen.select("fp", F.xxhash64("root").alias("work")))
+        small = self._linked(texts, chosen.join(large, "root", "left_anti").select("fp", F.xxhash64("root").alias("work")))
+        return small.unionByName(self._in_blocks(texts, chosen.join(large, "root", "left_semi")))
+
+    def _blocks(self, sets: DataFrame) -> DataFrame:
+        """sets (fp, n, root) with band and salt: a block is about as large as a task may hold."""
+        kind = F.floor(F.log(F.col("n").cast("double")) / F.lit(Classes(self.num, self.den).log)).cast("int")
+        banded = sets.withColumn("band", kind)
+        salts = banded.groupBy("root", "band").agg(F.ceil(F.sum("n") * 16 / self.block_bytes).cast("int").alias("salts"))
+        return banded.join(salts, ["root", "band"]).withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).drop("salts")
+
+    def _in_blocks(self, texts: DataFrame, sets: DataFrame) -> DataFrame:
+        blocks = materialize(self._blocks(sets), "jaccard-blocks")
+        within = materialize(self._linked(texts, blocks.select("fp", F.xxhash64("root", "band", "salt").alias("work"))), "jaccard-within")
+
+        def with_parts(links: DataFrame) -> DataFrame:
+            of = connected(links, "jaccard-parts").select("v", F.col("root").alias("own"))
+            return blocks.join(of, F.col("fp") == F.col("v"), "left").select(*blocks.columns, F.coalesce("own", "fp").alias("part"))
+
+        first = with_parts(within)
+        heads = first.filter(F.col("part") == F.col("fp")).select("fp", "n", "root")  # one set of each part
+        across = materialize(self._linked(texts, self._blocks(heads).select("fp", F.xxhash64("root", "band", "salt").alias("work"))), "jaccard-across")
+        parts = materialize(with_parts(within.unionByName(across)), "jaccard-parted")
+        place = ["root", "band", "salt"]
+        held = parts.groupBy(*place).agg(F.min("part").alias("low"), F.max("part").alias("high"))
+        left, right = held.select(F.struct(*place).alias("x"), F.col("root"), F.explode(F.array("band", F.col("band") + 1)).alias("near"), "low", "high"), held.select(F.struct(*place).alias("y"), "root", F.col("band").alias("near"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+        open_ = left.join(right, ["root", "near"]).filter("x < y AND NOT (low = high AND low2 = high2 AND low = low2)")
+        work = open_.select(F.xxhash64("x", "y").alias("work"), F.explode(F.array("x", "y")).alias("block")).select("work", "block.*")
+        rest = self._linked(texts, parts.join(work, place).select("fp", "work"))
+        return within.unionByName(across).unionByName(rest)
+
+
+def jaccard_members(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc, th, n, head): each row of docs by id and text hash, the size of its set, and the first document (none, id, th) of
+    its component; documents with a null id come after the others. head is null where the set is empty."""
+    join = _Join(docs, doc_id, text, n, num, den, block_bytes)
+    rows, texts = join.sets()
+    linked = connected(join.links(texts), "jaccard-links")
+    first = F.min(F.struct(F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("id"), F.col("th")))
+    prints = rows.filter("n > 0").groupBy("fp").agg(first.alias("first"), F.count("*").alias("rows"))
+    keyed = materialize(prints.join(linked, F.col("fp") == F.col("v"), "left").select("fp", "first", "rows", F.coalesce("root", "fp").alias("key")), "jaccard-keyed")
+    heads = keyed.groupBy("key").agg(F.min("first").alias("head"), F.count("*").alias("sets"))
+    of_set = hot_join(keyed.select("fp", "rows", "key"), heads, "key", "sets", F.xxhash64("fp")).select("fp", "rows", "head")
+    own = rows.withColumn("fp", F.when(F.col("n") > 0, F.col("fp")))
+    return hot_join(own, of_set, "fp", "rows", F.xxhash64("doc", "th")).select("doc", "th", "n", "head")
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents whose sets link when den * intersection >= num * union."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    body = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    buckets = min(4 * parts, 65536)
-    dealt = lambda rows: rows.mapInArrow(_sign(n, num, den, buckets), _A).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    met = materialize(dealt(body).mapInArrow(_meet(_support), _B), "jaccard-met")
-    rows = met.filter("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("n"), F.col("c").alias("fp"), F.col("d").alias("own"), F.col("e").alias("next"))
-    support = met.filter("kind = 1").groupBy(F.col("a").alias("fp")).agg(*[F.sum(F.when(F.col("b") == i, F.col("c")).otherwise(0)).alias(f"s{i}") for i in (0, 1)])
-    # one text of each set that shares enough parts, the one of its smallest document
-    enough = rows.filter("n > 0").join(support, "fp").filter("s0 >= own OR s1 >= next")
-    some = enough.groupBy("fp").agg(F.min("doc").alias("doc"), F.first("n").alias("n"))
-    fetched = body.withColumnRenamed("doc", "_doc").join(some.hint("shuffle_hash"), F.col("_doc") == F.col("doc"))
-    # rows that repeat a document id may bring other texts along; links are only made of texts with the fingerprint they came for
-    texts = materialize(fetched.select("fp", "n", "text"), "jaccard-texts")
-    again = dealt(texts.select(F.col("fp").alias("doc"), "text")).mapInArrow(_meet(_neighbours), _B)
-    near = connected(again.filter("kind = 1").select("a", "b"), "jaccard-near")
-    member = near.unionByName(near.select(F.col("root").alias("v"), "root").distinct())
-    chosen = materialize(texts.select("fp", "n").distinct().join(member, F.col("fp") == F.col("v")).select("fp", "n", "root"), "jaccard-chosen")
-    kind = F.floor(F.log(F.col("n").cast("double")) / F.lit(Classes(num, den).log)).cast("long")
-    large = chosen.groupBy("root").agg(F.sum("n").alias("total")).filter(F.col("total") * 8 > block_bytes).select("root")
-    small = chosen.join(large, "root", "left_anti").select("fp", F.struct("root", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("p"), F.lit(0).alias("q")).alias("work"))
-    banded = chosen.join(large, "root").withColumn("band", kind)
-    salts = banded.groupBy("root", "band").agg(F.ceil(F.sum("n") * 16 / block_bytes).cast("int").alias("salts"))
-    nearby = banded.select("*", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("other"))
-    salted = nearby.join(salts, ["root", "band"]).join(salts.select("root", F.col("band").alias("other"), F.col("salts").alias("others")), ["root", "other"])
-    salted = salted.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("its"))
-    lower = (F.col("band") < F.col("other")) | ((F.col("band") == F.col("other")) & (F.col("own") <= F.col("its")))
-    pick = lambda a, b: F.when(lower, a).otherwise(b).cast("int")
-    cut = salted.select("fp", F.struct("root", pick(F.col("band"), F.col("other")).alias("x"), pick(F.col("other"), F.col("band")).alias("y"), pick(F.col("own"), F.col("its")).alias("p"), pick(F.col("its"), F.col("own")).alias("q")).alias("work"))
-    work = small.unionByName(cut).select("fp", F.xxhash64("work").alias("work"))
-    brought = texts.select("fp", "text").join(work.hint("shuffle_hash"), "fp").select("work", "fp", "text").repartition(parts, "work").sortWithinPartitions("work", "fp")
-    links = brought.mapInArrow(_link(n, num, den), "a long, b long")
-    linked = connected(links, "jaccard-links")
-    keyed = rows.join(linked, rows.fp == linked.v, "left").select("doc", "n", F.coalesce("root", "fp").alias("key"))
-    least = keyed.filter("n > 0").groupBy("key").agg(F.min("doc").alias("least"))
-    return keyed.join(least, "key", "left").select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without those that are linked, directly or not, with a document of a smaller id."""
-    found = jaccard_components(docs, doc_id, text, n, num, den)
-    gone = found.filter(~F.col("component_id").eqNullSafe(F.col(doc_id))).select(F.col(doc_id).alias("_gone")).distinct().hint("shuffle_hash")
-    return docs.join(gone, docs[doc_id] == F.col("_gone"), "left_anti")
+    found = jaccard_members(docs, doc_id, text, n, num, den, block_bytes)
+    least = F.when(F.col("head").isNull(), F.col("doc")).when(~F.col("head.none"), F.col("head.id"))
+    return found.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), least.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without those that are linked, directly or not, with a document of a smaller id (null ids come last)."""
+    found = jaccard_members(docs, doc_id, text, n, num, den, block_bytes)
+    me = F.struct(F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("id"), F.col("th"))
+    gone = found.filter(F.col("head").isNotNull() & (F.col("head") != me)).select(F.col("doc").alias("_gone"), F.col("th").alias("_th")).distinct().hint("shuffle_hash")
+    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_gone")) & (F.xxhash64(text) == F.col("_th")), "left_anti")
