@@ -10,7 +10,7 @@ COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_rep
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(*COLUMNS)
+    return rules(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep_text=False).select(*COLUMNS)
 
 
 def _sql() -> str:

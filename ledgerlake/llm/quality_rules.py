@@ -7,7 +7,7 @@ one for all others, whatever the table's size.
 
 Defined results: a null or empty text has no words and fails the base rule; a null or unlisted language is compared with
 the reference of all unlisted ones; repeated rows are judged alike; an empty table gives an empty result; other columns
-pass through ``rules`` unread.
+pass through ``rules`` unread, but those of the names it adds give way; texts of any length are measured whole.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, materialize, plus
 
 #: Frequent words of each language.
 COMMON = {
@@ -102,44 +102,56 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
-def _histograms(docs: DataFrame, text: str, lang: str, full: bool) -> DataFrame:
+MEASURES = "_measures"
+
+
+def measure(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs with one small struct: everything that references and verdicts need, so that each text is read once."""
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.when(F.col(lang).isin(list(COMMON)), F.col(lang)).otherwise(OTHER)
+    spoken = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def measured(w: Column, rare: Column) -> Column:
         chars, symbols = F.length(F.array_join(w, "")), F.regexp_count(rare, F.lit(_SYMBOL))
-        base = [F.size(w).alias("n_words"), chars.alias("word_chars"), symbols.alias("n_symbols"), _share(_char_counts(body, rare, chars, symbols)).alias("char_share"), _share(_word_counts(w, key)).alias("word_share")]
-        return F.struct(*base, *[repeated_words(w).alias("n_repeat_words")] * full)
+        dup = let(spoken, lambda ls: F.size(ls) - F.size(F.array_distinct(ls)))
+        counts = {"n_words": F.size(w), "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeated_words(w)}
+        return F.struct(*[c.cast("long").alias(k) for k, c in counts.items()], _share(_char_counts(body, rare, chars, symbols)).alias("char_share"), _share(_word_counts(w, key)).alias("word_share"), key.alias("key"))
 
-    return docs.select("*", key.alias("_key"), let(words_of(body), lambda w: let(_rare(body), lambda rare: measured(w, rare))).alias("_m"))
+    return docs.withColumn(MEASURES, let(words_of(body), lambda w: let(_rare(body), lambda rare: measured(w, rare))))
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, char_ref, word_ref): mean histograms over all documents that are long enough; at most one row per key."""
-    h = _histograms(docs.select(text, lang), text, lang, False)
+def references(measured: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(_key, char_ref, word_ref): mean histograms over all documents that are long enough; at most one row per key."""
     wide = max(len(_list_of(k)) for k in [*COMMON, OTHER]) + 1
-    # a condition inside the sums, as a filter would be pushed below the histograms and compute them twice
-    mean = lambda own, i: F.avg(F.when(F.col("_m.n_words") >= min_words, F.get(F.col("_m")[own], F.lit(i))))
-    agg = h.groupBy("_key").agg(*[mean("char_share", i).alias(f"c{i}") for i in range(7)], *[mean("word_share", i).alias(f"w{i}") for i in range(wide)]).filter("c0 IS NOT NULL")
+    m = F.col(MEASURES)
+    mean = lambda own, i: F.avg(F.get(m[own], F.lit(i)))
+    agg = measured.filter(m["n_words"] >= min_words).groupBy(m["key"].alias("_key")).agg(*[mean("char_share", i).alias(f"c{i}") for i in range(7)], *[mean("word_share", i).alias(f"w{i}") for i in range(wide)])
     full = F.array(*[f"w{i}" for i in range(wide)])
-    return agg.select(F.col("_key"), F.array(*[f"c{i}" for i in range(7)]).alias("char_ref"), F.filter(full, lambda x: x.isNotNull()).alias("word_ref"))
+    return agg.select("_key", F.array(*[f"c{i}" for i in range(7)]).alias("_char_ref"), F.filter(full, lambda x: x.isNotNull()).alias("_word_ref"))
 
 
-def rules(docs: DataFrame, text: str = "text", lang: str = "lang", refs: DataFrame | None = None, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, least_common: float = 0.0) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance, common_ratio, base_failed, kept.
-
-    ``common_ratio`` is the share of common words by that of the reference; with ``least_common`` a judged text below it fails."""
-    refs = references(docs, text, lang, min_words) if refs is None else refs
-    spoken = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    dup = let(spoken, lambda ls: F.size(ls) - F.size(F.array_distinct(ls)))
+def verdict(measured: DataFrame, refs: DataFrame, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, least_common: float = 0.0) -> DataFrame:
+    """``measured`` without its struct, with the columns that ``rules`` adds."""
+    m = F.col(MEASURES)
     # at most len(COMMON) + 1 rows, by the grouping above
-    scored = _histograms(docs, text, lang, True).withColumn("_dup", dup).join(F.broadcast(refs), "_key", "left")
-    m = F.col("_m")
-    far = lambda own, ref: F.when((m["n_words"] >= min_words) & F.col(ref).isNotNull(), js_distance(m[own], F.col(ref))).otherwise(0.0)
+    scored = measured.join(F.broadcast(refs), m["key"] == F.col("_key"), "left")
+    judged = (m["n_words"] >= min_words) & F.col("_key").isNotNull()
+    far = lambda own, ref: F.when(judged, js_distance(m[own], F.col(ref))).otherwise(0.0)
     common = lambda shares: 1 - F.element_at(shares, -1)
-    ratio = F.when((m["n_words"] >= min_words) & (common(F.col("word_ref")) > 0), common(m["word_share"]) / common(F.col("word_ref"))).otherwise(1.0)
-    out = scored.select(*[F.col(c) for c in docs.columns], *[m[c].cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols")], F.col("_dup").cast("long").alias("n_dup_lines"), m["n_repeat_words"].cast("long").alias("n_repeat_words"), far("char_share", "char_ref").alias("char_distance"), far("word_share", "word_ref").alias("word_distance"), ratio.alias("common_ratio"))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    # one comparison: a filter on parts of the verdict would be pushed below the histograms and compute them again
-    worst = F.greatest(F.when(failed, 2.0).otherwise(0.0), F.col("char_distance") / max_char, F.col("word_distance") / max_word, F.when(F.col("common_ratio") < least_common, 2.0).otherwise(0.0))
-    return out.withColumn("base_failed", failed).withColumn("kept", worst <= 1.0)
+    ratio = F.when(judged & (common(F.col("_word_ref")) > 0), common(m["word_share"]) / common(F.col("_word_ref"))).otherwise(1.0)
+    found = {c: m[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    found |= {"char_distance": far("char_share", "_char_ref"), "word_distance": far("word_share", "_word_ref"), "common_ratio": ratio}
+    found["base_failed"] = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
+    found["kept"] = ~found["base_failed"] & (found["char_distance"] <= max_char) & (found["word_distance"] <= max_word) & (ratio >= least_common)
+    return plus(scored, **found).drop("_key", MEASURES, "_char_ref", "_word_ref")
+
+
+def rules(docs: DataFrame, text: str = "text", lang: str = "lang", refs: DataFrame | None = None, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE, least_common: float = 0.0, keep_text: bool = True) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance, common_ratio, base_failed, kept.
+
+    A column of docs of one of these names gives way. ``common_ratio`` is the share of common words by that of the reference;
+    with ``least_common`` a judged text below it fails. Texts are read once: what is measured of them is written to the shared
+    folder, with the other columns of docs and, with ``keep_text``, the text."""
+    measured = measure(docs, text, lang)
+    measured = materialize(measured if keep_text else measured.drop(text), "quality-measures")
+    return verdict(measured, references(measured, min_words) if refs is None else refs, min_words, max_char, max_word, least_common)
