@@ -1,17 +1,18 @@
 """Chat formatting with Spark expressions only.
 
-A conversation's turns are collected as structs and sorted; runs of turns of one role become one block; blocks are
-concatenated. The layout of a block is ``<s>role[INST]text[/INST]</s>``; further turns of the same role add
+A conversation's turns are put in order, collected as structs and sorted; adjacent turns of one role become one block;
+blocks are concatenated by array functions. The layout of a block is ``<s>role[INST]text[/INST]</s>``; further turns of the same role add
 ``[INST]text[/INST]`` to the block, so that the turns can be read back. Control strings inside roles and texts get a
 backslash after their first character (and one more if they have some already), which ``unescape`` takes away again.
 
 Defined results: a null role or text is empty; ties of a turn number are ordered by role, then text; repeated rows stay;
-a null conversation id is a conversation of its own; an empty table gives an empty result; other columns are ignored.
+a null conversation id is a conversation of its own; an empty table gives an empty result; other columns are ignored;
+texts of any length are kept whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import let
@@ -28,44 +29,23 @@ def unescape(text: Column) -> Column:
 
 
 def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """(conv, formatted string, loss_spans array<struct<start,end>>): spans of code points of the escaped texts to learn."""
-    turns = rows.select(
-        F.col(conv).alias("conv"),
-        F.struct(F.col(turn).alias("turn"), escape(F.coalesce(F.col(role), F.lit(""))).alias("role"), escape(F.coalesce(F.col(text), F.lit(""))).alias("body"), F.coalesce(F.col(role).isin(*learn), F.lit(False)).alias("loss")).alias("t"),
-    )
-
-    def pieces(ts: Column) -> Column:
-        """Of each turn: what stands before its text, its text, and whether it counts for the loss."""
-
-        def piece(t: Column, i: Column) -> Column:
-            opens = (i == 0) | (F.get(ts, i - 1)["role"] != t["role"])
-            return F.struct(
-                F.concat(F.when(opens & (i > 0), F.lit("</s>")).otherwise(""), F.when(opens, F.concat(F.lit("<s>"), t["role"])).otherwise(""), F.lit("[INST]")).alias("lead"),
-                t["body"].alias("body"),
-                t["loss"].alias("loss"),
-            )
-
-        return F.transform(ts, piece)
-
-    def spans(ps: Column) -> Column:
-        """A fold over the pieces that adds up their lengths."""
-        start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"))
-
-        def step(acc: Column, p: Column) -> Column:
-            begin = acc["at"] + F.length(p["lead"])
-            end = begin + F.length(p["body"])
-            more = F.array(F.struct(begin.alias("start"), end.alias("end")))
-            return F.struct((end + 7).alias("at"), F.when(~p["loss"], acc["spans"]).when(acc["spans"].isNull(), more).otherwise(F.concat(acc["spans"], more)).alias("spans"))
-
-        return F.coalesce(F.aggregate(ps, start, step)["spans"], F.array().cast("array<struct<start:int,end:int>>"))
-
-    both = lambda ps: F.struct(
-        F.concat(F.array_join(F.transform(ps, lambda p: F.concat(p["lead"], p["body"], F.lit("[/INST]"))), ""), F.lit("</s>")).alias("formatted"),
-        spans(ps).alias("loss_spans"),
-    )
-    grouped = turns.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    done = grouped.select(F.col("conv").alias(conv), let(F.col("ts"), lambda ts: let(pieces(ts), both)).alias("out"))
-    return done.select(conv, "out.formatted", "out.loss_spans")
+    """(conv, formatted string, loss_spans array<struct<start,end>>): spans of code points of the escaped texts to learn.
+
+    Where a turn's text stands is a running sum of lengths, so that a conversation of many turns costs a sort and no more."""
+    body = lambda c: escape(F.coalesce(F.col(c), F.lit("")))
+    turns = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), body(role).alias("role"), body(text).alias("body"), F.coalesce(F.col(role).isin(*learn), F.lit(False)).alias("loss"))
+    order = Window.partitionBy("conv").orderBy("turn", "role", "body", "loss")
+    before = F.lag("role").over(order)
+    lead = F.when(before == F.col("role"), "[INST]").otherwise(F.concat(F.when(before.isNull(), "<s>").otherwise("</s><s>"), F.col("role"), F.lit("[INST]")))
+    led = turns.select("*", lead.alias("lead"), F.row_number().over(order).alias("i"))
+    size = F.length("lead") + F.length("body") + 7
+    placed = led.select("conv", "i", "lead", "body", "loss", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("to"))
+    start = F.col("to") - 7 - F.length("body")
+    piece = F.struct("i", F.concat("lead", "body", F.lit("[/INST]")).alias("piece"), F.when(F.col("loss"), F.struct(start.cast("int").alias("start"), (F.col("to") - 7).cast("int").alias("end"))).alias("span"))
+    grouped = placed.groupBy("conv").agg(F.sort_array(F.collect_list(piece)).alias("ps"))
+    formatted = F.concat(F.array_join(F.transform("ps", lambda p: p["piece"]), ""), F.lit("</s>"))
+    spans = F.transform(F.filter("ps", lambda p: p["span"].isNotNull()), lambda p: p["span"])
+    return grouped.select(F.col("conv").alias(conv), formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
