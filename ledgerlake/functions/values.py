@@ -90,10 +90,38 @@ def infer(text: str) -> Scalar | ResolvableLink:
         return Tag(text[1:-1])
     if len(text) > 2 and text[0] == text[-1] == "|":
         body, _, fmt = text[1:-1].partition("|")
-        return datetime.strptime(body, fmt) if fmt else datetime.fromisoformat(body)
+        return datetime.strptime(body.strip(), time_format(fmt.strip())) if fmt else datetime.fromisoformat(body.strip())
     return number(text) if number(text) is not None else text
 
 
+#: Pattern letters of timestamp literals, each run of a letter (by its least length) and what it reads.
+PATTERN_LETTERS = [
+    ("yyyy", "%Y"), ("yy", "%y"), ("y", "%Y"), ("MMMM", "%B"), ("MMM", "%b"), ("M", "%m"), ("d", "%d"), ("D", "%j"), ("EEEE", "%A"), ("E", "%a"),
+    ("H", "%H"), ("h", "%I"), ("k", "%H"), ("K", "%I"), ("m", "%M"), ("s", "%S"), ("S", "%f"), ("a", "%p"), ("Z", "%z"), ("z", "%Z"),
+]
+
+
+_RUN = re.compile(r"'((?:[^']|'')*)'|([A-Za-z])\2*|[^A-Za-z']")
+
+
+def time_format(pattern: str) -> str:
+    """A pattern of letters (``yyyy-MM-dd``, quotes around plain text) as a format of strptime; one with % is that already."""
+    if "%" in pattern:
+        return pattern
+    out = []
+    for m in _RUN.finditer(pattern):
+        if m[1] is not None:
+            out.append("'" if m[0] == "''" else m[1].replace("''", "'"))
+        elif m[2] is None:
+            out.append(m[0])
+        else:
+            found = next((f for p, f in PATTERN_LETTERS if m[0].startswith(p)), None)
+            if found is None:
+                raise ValueError(f"unknown pattern letter {m[0]!r}")
+            out.append(found)
+    return "".join(out)
+
+
 def number(text: str) -> int | float | None:
     if re.fullmatch(r"[+-]?\d+", text):
         return int(text)
@@ -170,7 +198,7 @@ class Triple:
         return (self.rank > r) | ((self.rank == r) & (own >= other if or_equal else own > other))
 
     def matches(self, pattern: str) -> Column:
-        return self.text.rlike(f"^(?:{pattern})$")
+        return self.text.rlike(rf"\A(?:{pattern})\z")
 
     def compare(self, op: str, values: list[Scalar]) -> Column:
         """The condition of one stored value; CONTAINS is in operators.search."""

@@ -15,15 +15,17 @@ def _checked(t: DataFrame) -> DataFrame:
 
 
 def _exact(c: Column) -> Column:
-    return c.cast("decimal(28,10)")
+    """Numbers as decimals of ten places; what is beyond them is an error by name, never a wrong sum."""
+    fits = c.try_cast("decimal(38,10)")
+    return F.when(c.isNotNull() & fits.isNull(), F.raise_error(F.concat(F.lit("beyond the exact range: "), c.cast("string"))).cast("decimal(38,10)")).otherwise(fits)
 
 
 def aggregate(name: str) -> Column:
     num = F.col("num")
     return {
-        "sum": lambda: F.sum(_exact(num)).cast("double"),
-        # the quotient of an exact sum and a count
-        "avg": lambda: F.round(F.sum(_exact(num)).cast("double") / F.count(num), 10),
+        "sum": lambda: F.sum(_exact(num)),
+        # the quotient of an exact sum and a count, rounded once
+        "avg": lambda: (F.sum(_exact(num)) / F.count(num).cast("decimal(20,0)")).cast("decimal(38,10)"),
         "count": lambda: F.count(num),
         "max": lambda: F.max(num),
         "min": lambda: F.min(num),
@@ -34,7 +36,7 @@ def over(t: DataFrame, name: str, records: bool = False) -> DataFrame:
     """(value) of all triples. Of no triples: 0 for a count, and for an average of listed records; else null."""
     value = aggregate(name)
     if name == "avg" and records:
-        value = F.coalesce(value, F.lit(0.0))
+        value = F.coalesce(value, F.lit(0).cast("decimal(38,10)"))
     return _checked(t).agg(value.alias("value"))
 
 
@@ -43,7 +45,21 @@ def by_record(t: DataFrame, name: str) -> DataFrame:
     return _checked(t).groupBy("record").agg(aggregate(name).alias("value"))
 
 
+#: The data types of values.
+TYPES = ["BOOLEAN", "DOUBLE", "FLOAT", "INTEGER", "LINK", "LONG", "STRING", "TAG", "TIMESTAMP"]
+
+
 def statistics(t: DataFrame) -> DataFrame:
-    """Per key: values, distinct values, distinctiveness (their ratio), and the shares of types."""
-    share = lambda kind: F.avg(F.when(F.col("rank") == kind, 1.0).otherwise(0.0))
-    return t.groupBy("key").agg(F.count("*").alias("count"), F.countDistinct("vid").alias("distinct"), (F.countDistinct("vid") / F.count("*")).alias("distinctiveness"), share(0).alias("number_share"), share(1).alias("link_share"), share(2).alias("other_share"))
+    """Per key: count of values, distinct ones and their share (distinctiveness), records, the share of all values that the key
+    has (proportion), numbers from the least to the largest value (spread), and of each data type the share of values."""
+    share = lambda kind: F.avg(F.when(F.col("type") == kind, 1.0).otherwise(0.0)).alias(f"percent_{kind.lower()}")
+    number = F.when(F.col("rank") == 0, F.col("num"))
+    own = t.groupBy("key").agg(F.count("*").alias("count"), F.countDistinct("vid").alias("distinct"), F.countDistinct("record").alias("records"), (F.max(number) - F.min(number)).alias("spread"), *map(share, TYPES))
+    # one row: how many values there are
+    total = own.agg(F.sum("count").alias("_all"))
+    return own.crossJoin(F.broadcast(total)).select("key", "count", "distinct", "records", (F.col("distinct") / F.col("count")).alias("distinctiveness"), (F.col("count") / F.col("_all")).alias("proportion"), "spread", *[f"percent_{k.lower()}" for k in TYPES])
+
+
+def contains_type(t: DataFrame, key: str, kind: str) -> bool:
+    """Whether any value of the key has the data type."""
+    return bool(t.filter((F.col("key") == key) & (F.col("type") == kind)).limit(1).count())

@@ -6,13 +6,14 @@ one aggregation by record decide all of them, exactly as separate sets would, si
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import Call, Link, Triple
 from ..plans.ccl import ID, And, Leaf, Or, key_class
 from . import calc, search
-from .navigate import path_triples
+from .navigate import key_triples, path_triples
 
 
 class Finder:
@@ -75,7 +76,7 @@ class Finder:
             return self._identifier(leaf)
         if kind == "function":
             key, name = (x.strip() for x in leaf.key.split("|"))
-            value = calc.by_record(self.store.triples([key], leaf.at), name)
+            value = calc.by_record(key_triples(self.store, key, leaf.at), name)
             number = value.select("record", F.lit(0).alias("rank"), F.col("value").alias("num"), F.col("value").cast("string").alias("str"), F.lit("DOUBLE").alias("type"))
             return self._compare(number, leaf, unique=True)
         if kind == "navigation":
@@ -119,7 +120,7 @@ class Finder:
         """One row (value)."""
         if call is None:
             return self.store.inventory().agg(F.lit(value).alias("value"))
-        t = self.store.triples([call.key], call.at)
+        t = key_triples(self.store, call.key, call.at)
         if call.records:
             t = t.filter(F.col("record").isin(*call.records))
         if call.condition is not None:
@@ -128,8 +129,9 @@ class Finder:
 
     def _identifier(self, leaf: Leaf) -> DataFrame:
         ids = [v.record if isinstance(v, Link) else int(v) for v in leaf.values]
-        if leaf.operator == "EQUALS":
-            return self.store.inventory().filter(F.col("record").isin(*ids))
+        if leaf.operator == "EQUALS":  # the ids as they are listed, written or not
+            spark = self.store.inventory().sparkSession
+            return spark.createDataFrame(pa.table({"record": pa.array(sorted(set(ids)), pa.int64())}))
         if leaf.operator == "NOT_EQUALS":
             return self.store.inventory().filter(~F.col("record").isin(*ids))
         raise ValueError(f"{ID} knows = and != only")

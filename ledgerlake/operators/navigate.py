@@ -36,6 +36,14 @@ def path_triples(store, path: str, at: int | None, starts: DataFrame | None = No
     return found.select(F.lit(path).alias("key"), "record", "end", "type", "rank", "num", "str", "vid", "added_at")
 
 
+def key_triples(store, key: str, at: int | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """Triples of a plain key, or of a path with its start as record: each value of a record once."""
+    if "." not in key:
+        t = store.triples([key], at)
+        return t if starts is None else t.join(starts.select("record"), "record", "left_semi")
+    return path_triples(store, key, at, starts).dropDuplicates(["record", "vid"])
+
+
 def many_paths(store, paths: list[str], at: int | None, starts: DataFrame) -> dict[str, DataFrame]:
     """Of each path its triples; a trie of stops makes every shared prefix one DataFrame (and one exchange)."""
     nodes: dict[tuple[str, ...], DataFrame] = {(): starts.select("record", F.col("record").alias("end"))}

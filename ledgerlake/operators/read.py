@@ -51,16 +51,22 @@ def wide(t: DataFrame, keys: list[str], records: DataFrame | None = None, single
     return out
 
 
-def browse(store, key: str, at: int | None = None) -> DataFrame:
-    """(vid, str, rank, num, record): the inverted index of a key, one row per value and record."""
-    if key_class(key) == "navigation":
-        return many_paths(store, [key], at, store.inventory())[key].select("vid", "str", "rank", "num", "record").distinct()
-    return store.triples([key], at).select("vid", "str", "rank", "num", "record")
+def browse(store, keys: str | list[str], at: int | None = None) -> DataFrame:
+    """(key, vid, str, rank, num, record): the inverted index of keys, one row per key, value and record; keys may navigate."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    columns = ["key", "vid", "str", "rank", "num", "record"]
+    plain, paths = [k for k in keys if key_class(k) != "navigation"], [k for k in keys if key_class(k) == "navigation"]
+    parts = [store.triples(plain, at).select(*columns)] if plain else []
+    parts += [t.select(*columns).distinct() for t in many_paths(store, paths, at, store.inventory()).values()] if paths else []
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.withColumn("num", F.col("num").cast("string")).unionByName(p.withColumn("num", F.col("num").cast("string")))
+    return out
 
 
-def browse_counts(store, key: str, at: int | None = None) -> DataFrame:
-    """(str, records): values of a key with the number of their records."""
-    return browse(store, key, at).groupBy("vid").agg(F.count("*").alias("records")).select(text_of(F.col("vid")).alias("str"), "records")
+def browse_counts(store, keys: str | list[str], at: int | None = None) -> DataFrame:
+    """(key, str, records): values of keys with the number of their records."""
+    return browse(store, keys, at).groupBy("key", "vid").agg(F.count("*").alias("records")).select("key", text_of(F.col("vid")).alias("str"), "records")
 
 
 def describe(store, records: DataFrame | None = None, at: int | None = None) -> DataFrame:
@@ -72,8 +78,9 @@ def describe(store, records: DataFrame | None = None, at: int | None = None) ->
 
 
 def invert(t: DataFrame) -> DataFrame:
-    """(key, str, records array): the inverted view of a result."""
-    return t.groupBy("key", "vid").agg(F.array_sort(F.collect_set("record")).alias("records")).select("key", text_of(F.col("vid")).alias("str"), "records")
+    """(key, str, record): the inverted view of a result, a row for each record of a value, so that a common value makes no large
+    row; a record stands once with each value."""
+    return t.select("key", "vid", "record").distinct().select("key", text_of(F.col("vid")).alias("str"), "record")
 
 
 def verify(store, key: str, value: Scalar, record: int, at: int | None = None) -> bool:
@@ -98,3 +105,20 @@ def jsonify(store, records: DataFrame, at: int | None = None, include_id: bool =
     body = fields.groupBy("record").agg(F.array_join(F.array_sort(F.collect_list(pair)), ",").alias("b"))
     first = F.concat(F.lit('"$id$":'), F.col("record").cast("string"), F.lit(",")) if include_id else F.lit("")
     return body.select("record", F.concat(F.lit("{"), first, F.col("b"), F.lit("}")).alias("json"))
+
+
+def json_array(objects: DataFrame) -> DataFrame:
+    """(json): all objects of jsonify as one array, by record; no record is an empty array. One text by its nature: for results
+    that a reader holds at once; ``jsonify`` has a row for each record."""
+    every = objects.agg(F.array_sort(F.collect_list(F.struct("record", "json"))).alias("os"))
+    return every.select(F.concat(F.lit("["), F.array_join(F.transform("os", lambda o: o["json"]), ","), F.lit("]")).alias("json"))
+
+
+def pretty(t: DataFrame, keys: list[str], most: int = 100) -> str:
+    """A result as text with a frame, for people: at most ``most`` records, and a last line that tells of more."""
+    rows = wide(t, keys).orderBy("record").limit(most + 1).collect()
+    cells = [["record", *keys], *([str(r["record"]), *(", ".join(r[k]) for k in keys)] for r in rows[:most])]
+    width = [max(len(line[i]) for line in cells) for i in range(len(cells[0]))]
+    line = "+" + "+".join("-" * (w + 2) for w in width) + "+"
+    shown = ["| " + " | ".join(c.ljust(w) for c, w in zip(row, width, strict=True)) + " |" for row in cells]
+    return "\n".join([line, shown[0], line, *shown[1:], line, *["..."] * (len(rows) > most)])

@@ -18,26 +18,30 @@ def review(revisions: DataFrame, start: int | None = None, end: int | None = Non
     return out.select("version", "seq", "action", "key", "record", "str")
 
 
+def described(revisions: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
+    """(record, version, changes array<string>): the changes of each version of a record, in words."""
+    verb = F.when(F.col("action") == "ADD", "added").otherwise("removed")
+    text = F.concat_ws(" ", verb, "key", F.when(F.col("action") == "ADD", "as").otherwise("from"), F.coalesce("str", F.lit("")))
+    rows = review(revisions, start, end)
+    return rows.groupBy("record", "version").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", text.alias("t")))), lambda s: s["t"]).alias("changes"))
+
+
 def chronologize(revisions: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """(record, key, version, values array<string>): the value set after each change; empty sets are left out.
 
-    Each change carries the set's difference; a fold over the changes of one field in order makes the sets. Changes before
-    start count but are not shown."""
+    Changes of a field are numbered; a value that is live from change i until change j is a row of each change between, which is
+    the result's own size. Changes before start count but are not shown."""
     rows = revisions if end is None else revisions.filter(F.col("version") < end)
-    step = F.struct("version", "seq", "action", "vid", "str")
-    log = rows.groupBy("record", "key").agg(F.array_sort(F.collect_list(step)).alias("log"))
-
-    def next_set(acc, r):
-        rest = F.filter(acc["live"], lambda v: v["vid"] != r["vid"])
-        live = F.when(r["action"] == "ADD", F.concat(rest, F.array(F.struct(r["vid"].alias("vid"), r["str"].alias("str"))))).otherwise(rest)
-        shown = F.struct(r["version"].alias("version"), F.array_sort(F.transform(live, lambda v: v["str"])).alias("values"))
-        # changes of one version are one moment: the last set stands
-        earlier = F.filter(acc["out"], lambda o: o["version"] != r["version"])
-        return F.struct(live.alias("live"), F.concat(earlier, F.array(shown)).alias("out"))
-
-    zero = F.struct(F.array().cast("array<struct<vid:string,str:string>>").alias("live"), F.array().cast("array<struct<version:bigint,values:array<string>>>").alias("out"))
-    sets = log.select("record", "key", F.explode(F.aggregate("log", zero, next_set)["out"]).alias("o")).select("record", "key", "o.*").filter(F.size("values") > 0)
-    return sets if start is None else sets.filter(F.col("version") >= start)
+    states = rows.withColumn("m", moment()).groupBy("record", "key", "vid", "version").agg(F.max("m").alias("m")).withColumn("on", is_add("m"))
+    field, value = Window.partitionBy("record", "key"), Window.partitionBy("record", "key", "vid").orderBy("version")
+    numbered = states.withColumn("i", F.dense_rank().over(field.orderBy("version")))
+    shown = F.lit(0) if start is None else F.max(F.when(F.col("version") < start, F.col("i")).otherwise(0)).over(field)
+    numbered = numbered.withColumn("last", F.max("i").over(field)).withColumn("first", shown + 1)
+    turned = numbered.withColumn("was", F.coalesce(F.lag("on").over(value), F.lit(False))).filter("on <> was")
+    spans = turned.withColumn("until", F.coalesce(F.lead("i").over(value) - 1, F.col("last"))).filter("on").withColumn("i", F.greatest("i", "first")).filter("i <= until")
+    each = spans.select("record", "key", text_of(F.col("vid")).alias("str"), F.explode(F.sequence("i", "until")).alias("i"))
+    points = numbered.filter("i >= first").select("record", "key", "i", "version").distinct()
+    return each.join(points, ["record", "key", "i"]).groupBy("record", "key", "version").agg(F.array_sort(F.collect_list("str")).alias("values"))
 
 
 def running_counts(revisions: DataFrame) -> DataFrame:
@@ -77,3 +81,23 @@ def as_of(revisions: DataFrame, times: DataFrame) -> DataFrame:
     w = Window.partitionBy("record", "key").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("c", F.last("c", ignorenulls=True).over(w)).filter("asks = 1 AND c.action = 'ADD'")
     return found.select("record", "key", "at", "c.str", "c.vid")
+
+
+def as_of_sets(revisions: DataFrame, times: DataFrame) -> DataFrame:
+    """(record, key, at, str, vid): every value that is live at each time of times (record, key, at), for fields of any number of
+    values.
+
+    The times of a field are numbered; a value that is live from time i to time j is a row of each of these, which is the
+    result's own size. Changes and times meet in one sorted stream per field."""
+    states = revisions.withColumn("m", moment()).groupBy("record", "key", "vid", "version").agg(F.max("m").alias("m")).withColumn("on", is_add("m"))
+    asked = times.select("record", "key", "at").distinct()
+    both = states.select("record", "key", F.col("version").alias("at"), F.lit(0).alias("asks"), "vid", "on").unionByName(asked.select("record", "key", "at", F.lit(1).alias("asks"), F.lit(None).cast("string").alias("vid"), F.lit(None).cast("boolean").alias("on")))
+    field = Window.partitionBy("record", "key")
+    before = F.sum("asks").over(field.orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = both.withColumn("i", before).withColumn("all", F.sum("asks").over(field))
+    value = Window.partitionBy("record", "key", "vid").orderBy("at")
+    turned = numbered.filter("asks = 0").withColumn("was", F.coalesce(F.lag("on").over(value), F.lit(False))).filter("on <> was")
+    spans = turned.withColumn("until", F.coalesce(F.lead("i").over(value), F.col("all"))).filter("on AND i < until")
+    each = spans.select("record", "key", "vid", F.explode(F.sequence(F.col("i") + 1, F.col("until"))).alias("i"))
+    found = each.join(numbered.filter("asks = 1").select("record", "key", "i", "at"), ["record", "key", "i"])
+    return found.select("record", "key", "at", text_of(F.col("vid")).alias("str"), "vid")

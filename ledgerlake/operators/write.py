@@ -62,10 +62,10 @@ def _from_live(live: DataFrame, action: str, version: int, seq: int = 0) -> Data
     return live.select(F.lit(version).cast("long").alias("version"), F.lit(seq).cast("long").alias("seq"), F.lit(action).alias("action"), "key", "record", "type", "num", "str", "vid").select(*COLUMNS)
 
 
-def clear(log: DataFrame, records: DataFrame, keys: list[str] | None, version: int) -> DataFrame:
-    """REMOVEs of all live values of keys (or of every key) of records (record)."""
-    part = log if keys is None else log.filter(F.col("key").isin(*keys))
-    return _from_live(fold(part).join(records.select("record"), "record", "left_semi"), "REMOVE", version)
+def clear(log: DataFrame, records: DataFrame | None, keys: list[str] | None, version: int) -> DataFrame:
+    """REMOVEs of all live values of keys (or of every key) of records (record) (or of every record)."""
+    live = fold(log if keys is None else log.filter(F.col("key").isin(*keys)))
+    return _from_live(live if records is None else live.join(records.select("record"), "record", "left_semi"), "REMOVE", version)
 
 
 def set_values(log: DataFrame, target: DataFrame, version: int) -> DataFrame:
@@ -89,11 +89,13 @@ def verify_and_swap(log: DataFrame, key: str, expected: Scalar, record: int, val
     return effective(log.filter((F.col("key") == key) & (F.col("record") == record)), both.join(held, ["key", "record"], "left_semi"))
 
 
-def links_to(log: DataFrame, sources: DataFrame, key: str, targets: DataFrame, version: int) -> DataFrame:
-    """An ADD of a link from each source to each target that a condition found, but not to itself. Targets are a stated set."""
-    pairs = sources.select("record").crossJoin(F.broadcast(targets.select(F.col("record").alias("to")))).filter("record <> to")
-    wanted = pairs.select(F.lit(version).cast("long").alias("version"), F.lit(0).cast("long").alias("seq"), F.lit("ADD").alias("action"), F.lit(key).alias("key"), "record", F.lit("LINK").alias("type"), F.col("to").cast("decimal(38,10)").alias("num"), F.concat(F.lit("@"), "to").alias("str"), F.concat(F.lit("l:"), "to").alias("vid"))
-    return effective(log.filter(F.col("key") == key), wanted)
+def links_to(sources: DataFrame, key: str, targets: DataFrame, version: int, seq: int = 0) -> DataFrame:
+    """An ADD of a link from each source (record, number) to each target (record, number) of its number, but not to itself.
+
+    The number stands for a condition: sources of one condition and what it found meet by it."""
+    found = targets.select(F.col("record").alias("to"), "number")
+    pairs = sources.select("record", "number").join(found, "number").filter("record <> to")
+    return pairs.select(F.lit(version).cast("long").alias("version"), F.lit(seq).cast("long").alias("seq"), F.lit("ADD").alias("action"), F.lit(key).alias("key"), "record", F.lit("LINK").alias("type"), F.col("to").cast("decimal(38,10)").alias("num"), F.concat(F.lit("@"), "to").alias("str"), F.concat(F.lit("l:"), "to").alias("vid"))
 
 
 def consolidate(log: DataFrame, into: int, others: list[int], version: int) -> DataFrame:

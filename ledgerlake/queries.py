@@ -6,6 +6,7 @@ ADDs (record: user, key: event type, version: time) or of SETs, in which a value
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,6 +101,10 @@ for _name, _table, _key, _ccl, _sql in [
     ("find_contains", "documents", "doc_id", "text ~ than", "contains(lower(text), 'than')"),
     ("find_contains_phrase", "documents", "doc_id", 'text contains "the and"', "len(list_filter(range(len(w) - 1), lambda i: contains(w[i + 1], 'the') AND contains(w[i + 2], 'and'))) > 0"),
     ("find_not_contains", "documents", "doc_id", "text !~ than", "NOT contains(lower(text), 'than')"),
+    ("find_multiword", "part", "p_partkey", "p_name = Cold Widget or p_name = 'small widget'", "lower(p_name) IN ('cold widget', 'small widget')"),
+    ("find_no_spaces", "part", "p_partkey", "p_size>=30&&p_size<40", "p_size >= 30 AND p_size < 40"),
+    ("find_quoted_function", "customer", "c_custkey", "c_name != 'avg(c_acctbal)' and c_acctbal > 9000", "c_acctbal > 9000"),
+    ("find_timestamp_format", "orders", "o_orderkey", "o_orderdate < |15/03/1996|dd/MM/yyyy|", "o_orderdate < TIMESTAMP '1996-03-15'"),
 ]:
     _from = "(SELECT *, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents)" if "w[" in _sql else _table
 
@@ -124,9 +129,39 @@ def find_id_ne(spark, sf):
     return star(spark, sf, "nation").find(f"$id$ != {NATION << 40 | 3}").select(pk("n_nationkey"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_acctbal > 9000")
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 9000 AND regexp_full_match(c_mktsegment, '.*U.*')")
 def find_builder(spark, sf):
-    return star(spark, sf, "customer").find(where("c_acctbal").op(">", 9000) & where("c_mktsegment").op("regex", ".*")).select(pk("c_custkey"))
+    return star(spark, sf, "customer").find(where("c_acctbal").op(">", 9000) & where("c_mktsegment").op("regex", ".*U.*")).select(pk("c_custkey"))
+
+
+@query("SELECT * FROM (VALUES (3), (900)) t(n_nationkey)")
+def find_id_unknown(spark, sf):
+    """Ids are what they are listed as, whether a record was written or not."""
+    tree = ccl.Leaf("$id$", "EQUALS", (NATION << 40 | 3, NATION << 40 | 900))
+    return star(spark, sf, "nation").find(tree).select(pk("n_nationkey").cast("int").alias("n_nationkey"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal > 7000 AND lower(c_mktsegment) = 'furniture'")
+def find_local_data(spark, sf):
+    return star(spark, sf, "customer").find("c_acctbal > $least and c_mktsegment = $segment", data={"least": 7000, "segment": "Furniture"}).select(pk("c_custkey"))
+
+
+@query("SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000")
+def find_fn_nav(spark, sf):
+    return star(spark, sf, "orders", "customer").find("o_custkey.c_acctbal | avg > 5000").select(pk("o_orderkey"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal < (SELECT max(n_nationkey) FROM customer JOIN nation ON c_nationkey = n_nationkey)")
+def find_fn_value_nav(spark, sf):
+    return star(spark, sf, "customer", "nation").find("c_acctbal < max(c_nationkey.n_nationkey)").select(pk("c_custkey"))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer JOIN (SELECT max(c_acctbal) AS m FROM customer) ON c_acctbal = m")
+def find_one(spark, sf):
+    """The record of the largest balance by find_one, if one record has it, and its value by gather."""
+    r = star(spark, sf, "customer")
+    record = r.find_one("c_acctbal >= max(c_acctbal)")
+    return r.gather("c_acctbal", record).select(pk("c_custkey"), F.col("num").alias("c_acctbal"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_acctbal > 5000 OR c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name = 'NATION_3')")
@@ -177,10 +212,12 @@ def find_two_times(spark, sf):
 
 @query(f"SELECT DISTINCT user_id, value FROM ({_ADDED}) WHERE event_type = 'signup' AND value > 90")
 def explore(spark, sf):
-    t = added(spark, sf).store.triples(["signup"])
-    from .functions.values import Triple
+    return added(spark, sf).explore("signup", ">", 90).select(F.col("record").alias("user_id"), num())
 
-    return t.filter(Triple().compare("GREATER_THAN", [90])).select(F.col("record").alias("user_id"), num())
+
+@query(f"SELECT user_id, value FROM ({_ADDED}) WHERE event_type = 'click' AND user_id = 8")
+def gather(spark, sf):
+    return added(spark, sf).gather("click", 8).select(F.col("record").alias("user_id"), num())
 
 
 # ---- projections -----------------------------------------------------------------------------------------------------
@@ -214,12 +251,10 @@ def get_latest(spark, sf):
     return added(spark, sf).get().select(F.col("record").alias("user_id"), F.col("key").alias("event_type"), num())
 
 
-@query(f"SELECT event_type, value, count(*) AS n FROM ({_ADDED}) WHERE user_id < 20 GROUP BY ALL")
+@query(f"SELECT event_type, value, user_id FROM ({_ADDED})")
 def invert(spark, sf):
-    # over all of events; the SQL's users are chosen from the result
     i = read.invert(added(spark, sf).store.triples())
-    n = F.size(F.filter("records", lambda r: r < 20)).cast("long")
-    return i.select(F.col("key").alias("event_type"), F.col("str").cast("double").alias("value"), n.alias("n")).filter("n > 0")
+    return i.select(F.col("key").alias("event_type"), F.col("str").cast("double").alias("value"), F.col("record").alias("user_id"))
 
 
 @query(f"SELECT user_id, event_type, value FROM ({_SET}) WHERE ts <= TIMESTAMP '{T1}' AND (until IS NULL OR until > TIMESTAMP '{T1}')")
@@ -232,6 +267,11 @@ def browse_key(spark, sf):
     return read.browse_counts(star(spark, sf, "customer").store, "c_mktsegment").select(F.col("str").alias("value"), "records")
 
 
+@query("SELECT 'c_mktsegment' AS key, c_mktsegment AS value, count(*) AS records FROM customer GROUP BY 2 UNION ALL SELECT 'c_nationkey.n_name', n_name, count(*) FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 2")
+def browse_keys(spark, sf):
+    return read.browse_counts(star(spark, sf, "customer", "nation").store, ["c_mktsegment", "c_nationkey.n_name"]).select("key", F.col("str").alias("value"), "records")
+
+
 @query("SELECT n_name AS value, count(*) AS records FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def browse_nav(spark, sf):
     return read.browse_counts(star(spark, sf, "customer", "nation").store, "c_nationkey.n_name").select(F.col("str").alias("value"), "records")
@@ -258,51 +298,93 @@ def inventory(spark, sf):
     return added(spark, sf).inventory().select(F.col("record").alias("user_id"))
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, true), (1000000, false)) t(user_id, live)")
+@query("SELECT DISTINCT user_id, true AS live FROM events UNION ALL SELECT DISTINCT user_id + 1000000, false FROM events")
 def ping(spark, sf):
-    return added(spark, sf).ping([1, 2, 1000000]).select(F.col("record").cast("int").alias("user_id"), "live")
+    """All records that have values, and as many that do not."""
+    r = added(spark, sf)
+    asked = r.inventory().select(F.explode(F.array("record", F.col("record") + 1000000)).alias("record"))
+    return r.ping(asked).select(F.col("record").alias("user_id"), "live")
+
 
+_HELD = [(1, 6.55), (2, 185.22), (8, 106.03), (13, 185.22), (1000000, 6.55)]
 
-@query(f"SELECT user_id, count(*) AS n FROM ({_ADDED}) WHERE event_type = 'error' AND value = 6.55 GROUP BY 1")
+
+@query(f"SELECT t.*, EXISTS (SELECT 1 FROM events e WHERE event_type = 'error' AND e.user_id = t.user_id AND e.value = t.value) AS held FROM (VALUES {', '.join(map(str, _HELD))}) t(user_id, value)")
 def verify(spark, sf):
-    t = added(spark, sf).store.triples(["error"]).filter("vid = 'n:6.55'")
-    return t.groupBy(F.col("record").alias("user_id")).agg(F.count("*").alias("n"))
+    r = added(spark, sf)
+    return spark.createDataFrame([(u, v, r.verify("error", v, u)) for u, v in _HELD], "user_id int, value double, held boolean")
+
+
+@query("SELECT t.user_id, EXISTS (SELECT 1 FROM events e WHERE e.user_id = t.user_id) AS written FROM (VALUES (1), (8), (1000000)) t(user_id)")
+def holds(spark, sf):
+    r = added(spark, sf)
+    return spark.createDataFrame([(u, r.holds(u)) for u in (1, 8, 1000000)], "user_id int, written boolean")
 
 
-@query("SELECT n_nationkey, '{\"n_name\":\"' || n_name || '\",\"n_regionkey\":\"@' || CAST(n_regionkey + 1099511627776 AS VARCHAR) || '\"}' AS json FROM nation")
+_NATION_JSON = "'{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || ',\"n_regionkey\":\"@' || CAST(n_regionkey + 1099511627776 AS VARCHAR) || '\"}'"
+
+
+@query(f"SELECT n_nationkey, {_NATION_JSON} AS json FROM nation")
 def jsonify(spark, sf):
-    r = star(spark, sf, "nation")
-    del r.store.of["n_nationkey"]
-    return r.jsonify().select(pk("n_nationkey"), "json")
+    return star(spark, sf, "nation").jsonify().select(pk("n_nationkey"), "json")
+
+
+@query(f"SELECT '[' || string_agg({_NATION_JSON}, ',' ORDER BY n_nationkey) || ']' AS json FROM nation WHERE n_regionkey = 1")
+def jsonify_array(spark, sf):
+    r = star(spark, sf, "nation", "region")
+    return read.json_array(r.jsonify(f"n_regionkey -> {REGION << 40 | 1}").filter(F.col("record").bitwiseAND(F.lit(-1 << 40)) == NATION << 40))
+
+
+@query(f"SELECT user_id, event_type, value FROM ({_SET}) WHERE ts <= TIMESTAMP '2024-01-17 12:00:00' AND (until IS NULL OR until > TIMESTAMP '2024-01-17 12:00:00')")
+def select_at_phrase(spark, sf):
+    """A phrase by a clock that stands at the 20th of January 2024."""
+    r = set_log(spark, sf)
+    r.clock = lambda: datetime(2024, 1, 20, 8)
+    return r.select(at="last wednesday at noon").select(F.col("record").alias("user_id"), F.col("key").alias("event_type"), num())
 
 
 # ---- calculations ----------------------------------------------------------------------------------------------------
-_FUNCTIONS = {"sum": "CAST(sum(CAST({v} AS DECIMAL(28, 10))) AS DOUBLE)", "avg": "CAST(sum(CAST({v} AS DECIMAL(28, 10))) AS DOUBLE) / count({v})", "count": "count({v})", "max": "max({v})", "min": "min({v})"}
+# an average is a quotient of whole numbers of cents, rounded half up at the tenth place
+_AVG = "CAST((2 * sum(CAST(round({v} * 100) AS HUGEINT)) * 100000000 + count({v})) // (2 * count({v})) AS DOUBLE) / 1e10"
+_FUNCTIONS = {"sum": "CAST(sum(CAST({v} AS DECIMAL(28, 10))) AS DOUBLE)", "avg": _AVG, "count": "count({v})", "max": "max({v})", "min": "min({v})"}
 for _f, _e in _FUNCTIONS.items():
     _e = _e.format(v="o_totalprice")
-    _e = f"round({_e}, 4)" if _f == "avg" else _e
     for _shape, _of, _sql in [("key", None, "orders"), ("record", ORDERS << 40 | 5, "orders WHERE o_orderkey = 5"), ("records", [ORDERS << 40 | k for k in (1, 2, 3)], "orders WHERE o_orderkey IN (1, 2, 3)"), ("condition", "o_orderstatus = F", "orders WHERE o_orderstatus = 'F'")]:
 
         def _calculate(spark, sf, _f=_f, _of=_of):
             v = star(spark, sf, "orders").calculate(_f, "o_totalprice", _of)
-            return v.select(F.round("value", 4).alias("value")) if _f == "avg" else v
+            return v if _f == "count" else v.select(F.col("value").cast("double").alias("value"))
 
         query(f"SELECT {_e} AS value FROM {_sql}", f"{_f}_{_shape}")(_calculate)
 
 
-@query(f"SELECT round(CAST(sum(CAST(value AS DECIMAL(28, 10))) AS DOUBLE) / count(*), 4) AS value FROM ({_SET}) WHERE event_type = 'click' AND ts <= TIMESTAMP '{T1}' AND (until IS NULL OR until > TIMESTAMP '{T1}')")
+@query(f"SELECT {_AVG.format(v='value')} AS value FROM ({_SET}) WHERE event_type = 'click' AND ts <= TIMESTAMP '{T1}' AND (until IS NULL OR until > TIMESTAMP '{T1}')")
 def avg_at(spark, sf):
-    return set_log(spark, sf).calculate("avg", "click", at=T1).select(F.round("value", 4).alias("value"))
+    return set_log(spark, sf).calculate("avg", "click", at=T1).select(F.col("value").cast("double").alias("value"))
 
 
 @query(f"SELECT user_id, CAST(sum(CAST(value AS DECIMAL(28, 10))) AS DOUBLE) AS value FROM ({_ADDED}) WHERE event_type = 'purchase' GROUP BY 1")
 def sum_by_record(spark, sf):
-    return added(spark, sf).calculate_by_record("sum", "purchase").select(F.col("record").alias("user_id"), "value")
+    return added(spark, sf).calculate_by_record("sum", "purchase").select(F.col("record").alias("user_id"), F.col("value").cast("double").alias("value"))
 
 
-@query(f"SELECT event_type, count(*) AS count, count(DISTINCT value) AS distinct_values FROM ({_ADDED}) GROUP BY 1")
+@query("SELECT CAST(sum(CAST(o_orderkey % 900 AS HUGEINT) * 10000000000000000 + o_orderkey) AS VARCHAR) AS value FROM orders")
+def sum_large(spark, sf):
+    """Whole numbers up to the largest long: the sum is exact."""
+    large = F.pmod("o_orderkey", F.lit(900)) * F.lit(10**16) + F.col("o_orderkey")
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.lit(1).cast("long").alias("version"), F.lit(0).cast("long").alias("seq"), F.lit("ADD").alias("action"), F.lit("big").alias("key"), F.col("o_orderkey").alias("record"), *encoded(large, "bigint"))
+    return Reader(LogStore(rows.select(*COLUMNS)), spark).calculate("sum", "big").select(F.col("value").cast("decimal(38,0)").cast("string").alias("value"))
+
+
+@query("SELECT CAST(sum(CAST(c_acctbal AS DECIMAL(28, 10))) AS DOUBLE) AS value FROM orders JOIN customer ON o_custkey = c_custkey")
+def sum_nav(spark, sf):
+    return star(spark, sf, "orders", "customer").calculate("sum", "o_custkey.c_acctbal").select(F.col("value").cast("double").alias("value"))
+
+
+@query(f"""SELECT event_type, count(*) AS count, count(DISTINCT value) AS distinct_values, count(DISTINCT user_id) AS records, count(DISTINCT value) / count(*) AS distinctiveness,
+count(*) / (SELECT count(*) FROM ({_ADDED})) AS proportion, CAST(max(CAST(value AS DECIMAL(28, 10))) - min(CAST(value AS DECIMAL(28, 10))) AS DOUBLE) AS spread, 1.0::DOUBLE AS percent_double, 0.0::DOUBLE AS percent_string FROM ({_ADDED}) GROUP BY 1""")
 def statistics(spark, sf):
-    return calc.statistics(added(spark, sf).store.triples()).select(F.col("key").alias("event_type"), "count", F.col("distinct").alias("distinct_values"))
+    return added(spark, sf).statistics().select(F.col("key").alias("event_type"), "count", F.col("distinct").alias("distinct_values"), "records", "distinctiveness", "proportion", F.col("spread").cast("double").alias("spread"), "percent_double", "percent_string")
 
 
 # ---- order, pages, search, links ---------------------------------------------------------------------------------------
@@ -329,6 +411,39 @@ def order_at(spark, sf):
     return set_log(spark, sf).find(None, [Sort("signup", False, to_micros(T1))], Page(0, 30)).select(F.col("record").alias("user_id"))
 
 
+@query("SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY lower(n_name) DESC, c_acctbal, c_custkey LIMIT 25")
+def order_nav(spark, sf):
+    return star(spark, sf, "customer", "nation").find("c_custkey >= 0 order by c_nationkey.n_name desc, c_acctbal limit 25").select(pk("c_custkey"))
+
+
+@query(f"SELECT user_id FROM (SELECT user_id, list(value ORDER BY value DESC) AS vs FROM ({_ADDED}) WHERE event_type = 'click' GROUP BY 1) ORDER BY vs DESC, user_id LIMIT 40")
+def order_sets(spark, sf):
+    """Fields of several values are ordered as lists."""
+    return added(spark, sf).find("click > 0 order by click desc limit 40").select(F.col("record").alias("user_id"))
+
+
+@query("SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer WHERE c_acctbal > 9500")
+def sort_result(spark, sf):
+    """A result that is sorted without the store: places by the order of its own rows."""
+    t = star(spark, sf, "customer").select(["c_acctbal"], "c_acctbal > 9500")
+    rows = order.sort_result(t, [("c_acctbal", False)]).select(pk("c_custkey"), F.col("num").alias("c_acctbal")).collect()
+    return spark.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], "c_custkey long, c_acctbal double, place long")
+
+
+@query("""SELECT doc_id, CAST(len(list_filter(range(len(w) - 1), lambda i: contains(w[i + 1], 'th') AND contains(w[i + 2], 'an'))) AS BIGINT) AS matches
+FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(list_filter(range(len(w) - 1), lambda i: contains(w[i + 1], 'th') AND contains(w[i + 2], 'an'))) > 0""")
+def search_phrase(spark, sf):
+    return star(spark, sf, "documents").search("text", "th an").select(pk("doc_id"), "matches")
+
+
+@query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'widget')")
+def find_strings_only(spark, sf):
+    """Tags are no strings: a search over both kinds of value finds the strings."""
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    log = shred(part, F.col("p_partkey"), F.lit(1).cast("long"), {"p_name": "string"}).unionByName(shred(part.withColumnRenamed("p_name", "t").withColumn("p_name", F.lower("t")), F.col("p_partkey") + 10**9, F.lit(1).cast("long"), {"p_name": "TAG"}))
+    return Reader(LogStore(log), spark).find("p_name ~ widget").select(F.col("record").alias("p_partkey"))
+
+
 @query("SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: contains(x, 'tion'))) AS BIGINT) AS matches FROM documents WHERE contains(lower(text), 'tion')")
 def search_ranked(spark, sf):
     return star(spark, sf, "documents").search("text", "tion").select(pk("doc_id"), "matches")
@@ -382,12 +497,39 @@ def review_window(spark, sf):
     return added(spark, sf).review(8, start=T1, end=T2).select("version", "action", F.col("key").alias("event_type"), F.col("str").cast("double").alias("value"))
 
 
+_NOW = f"(SELECT user_id, event_type, value FROM ({_SET}) WHERE until IS NULL)"
+
+
+@query(f"""SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, coalesce(a.value, b.value) AS value, CASE WHEN a.user_id IS NULL THEN 'ADDED' ELSE 'REMOVED' END AS action
+FROM {_AT.format(s=_SET, t=T1)} a FULL JOIN {_NOW} b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.value = b.value WHERE (a.user_id IS NULL OR b.user_id IS NULL) AND coalesce(a.event_type, b.event_type) = 'view'""")
+def diff_open(spark, sf):
+    return _differences(set_log(spark, sf).diff(T1, key="view"))
+
+
+@query(f"SELECT epoch_us(ts) AS version, count(*) AS changes FROM ({_ADDED}) WHERE user_id = 8 GROUP BY 1")
+def audit(spark, sf):
+    return added(spark, sf).audit(8).groupBy("version").agg(F.count("*").alias("changes"))
+
+
+@query(f"SELECT user_id, epoch_us(ts) AS version, count(*) AS n, 'added ' || min(event_type) || ' as ' AS first FROM ({_ADDED}) WHERE ts >= TIMESTAMP '{T1}' AND ts < TIMESTAMP '{T2}' GROUP BY ALL")
+def review_described(spark, sf):
+    c = added(spark, sf).changes(start=T1, end=T2)
+    return c.select(F.col("record").alias("user_id"), "version", F.size("changes").cast("long").alias("n"), F.regexp_extract(F.array_min("changes"), "^added \\S+ as ", 0).alias("first"))
+
+
 @query(f"SELECT user_id, epoch_us(ts) AS version, value FROM ({_SET}) WHERE event_type = 'view' AND ts >= TIMESTAMP '{T1}' AND ts < TIMESTAMP '{T2}'")
 def chronologize(spark, sf):
     c = set_log(spark, sf).chronologize("view", start=T1, end=T2)
     return c.select(F.col("record").alias("user_id"), "version", F.explode("values").alias("value")).withColumn("value", F.col("value").cast("double"))
 
 
+@query(f"SELECT a.user_id, epoch_us(a.ts) AS version, count(*) AS n, min(b.value) AS low FROM ({_ADDED}) a JOIN ({_ADDED}) b ON a.user_id = b.user_id AND b.event_type = 'error' AND b.ts <= a.ts WHERE a.event_type = 'error' AND a.user_id IN (1, 2, 3) GROUP BY ALL")
+def chronologize_sets(spark, sf):
+    r = added(spark, sf)
+    few = Reader(LogStore(r.store.log.filter(F.col("record").isin(1, 2, 3))), spark).chronologize("error")
+    return few.select(F.col("record").alias("user_id"), "version", F.size("values").cast("long").alias("n"), F.array_min(F.transform("values", lambda v: v.cast("double"))).alias("low"))
+
+
 @query(f"SELECT user_id, epoch_us(ts) AS version, count(*) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM ({_ADDED}) WHERE event_type = 'click'")
 def chronologize_counts(spark, sf):
     return temporal.running_counts(added(spark, sf).store.revisions(["click"])).select(F.col("record").alias("user_id"), "version", "n")
@@ -451,11 +593,11 @@ def consolidate_rows(spark, sf):
 
 
 # ---- sources and sinks -------------------------------------------------------------------------------------------------
-@query("SELECT key, count(*) AS n FROM (UNPIVOT (SELECT c_name, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer) ON c_name, c_acctbal, c_mktsegment INTO NAME key VALUE v) GROUP BY 1")
+@query("SELECT c_custkey, 'c_name' AS key, c_name AS v, NULL::DOUBLE AS value FROM customer UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment, NULL FROM customer UNION ALL SELECT c_custkey, 'c_acctbal', NULL, c_acctbal FROM customer")
 def shred_customer(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet")
     log = shred(c, F.col("c_custkey"), F.lit(1).cast("long"), {"c_name": "string", "c_acctbal": "double", "c_mktsegment": "string"})
-    return fold(log).groupBy("key").agg(F.count("*").alias("n"))
+    return fold(log).select(F.col("record").alias("c_custkey"), "key", F.when(F.col("type") == "STRING", F.col("str")).alias("v"), num())
 
 
 @query("SELECT p_partkey, 'p_brand' AS key, p_brand AS v FROM part UNION ALL SELECT p_partkey, 'p_size', CAST(p_size AS VARCHAR) FROM part")
@@ -470,14 +612,6 @@ def csv_round_trip(spark, sf):
     return fold(log).filter("key <> 'p_partkey'").select(F.col("record").alias("p_partkey"), "key", F.col("str").alias("v"))
 
 
-@query("SELECT event_type, count(*) AS n, count(k) AS with_k FROM (SELECT event_type, json_extract(props, '$.k') AS k FROM events) GROUP BY 1")
-def json_source(spark, sf):
-    """The JSON texts of events as revisions of their keys."""
-    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", F.explode(F.from_json("props", "map<string,string>")).alias("key", "v"))
-    log = e.select(F.lit(1).cast("long").alias("version"), F.lit(0).cast("long").alias("seq"), F.lit("ADD").alias("action"), "key", F.col("event_id").alias("record"), *files.inferred(F.col("v")), "event_type")
-    return log.groupBy("event_type").agg(F.countDistinct("record").alias("n"), F.count(F.when(F.col("key") == "k", 1)).alias("with_k"))
-
-
 @query(f"SELECT user_id, event_type, value FROM ({_SET}) WHERE until IS NULL")
 def stream_fold(spark, sf):
     """The log as a stream, folded batch by batch; its last state is the live view."""
@@ -500,3 +634,5 @@ def entry(spark: SparkSession, sf: str) -> DataFrame:
     best = order.arrange(r.store, found, (Sort("o_totalprice", False),), Page(0, 100))
     return r.store.triples(["o_totalprice"]).join(best, "record", "left_semi").select(pk("o_orderkey"), F.col("num").alias("o_totalprice"))
 
+
+from . import ledger_queries  # noqa: E402, F401  (registers its queries)

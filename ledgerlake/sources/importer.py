@@ -7,8 +7,10 @@
     register(spark, Logs)
     spark.read.format("logs").load("/folder")        # (file, line, object as JSON text)
 
-Hooks: ``header`` (the first line names the columns of ``split``), ``transform_value(key, text)``, ``resolve_key`` (rows go to the records
-whose value of that key they have; see files.resolve).
+    load(ledger, Logs, "/folder")                    # the same as new records of a ledger, or as more of those that it has
+
+Hooks: ``header`` (the first line names the columns of ``split``), ``transform_value(key, text)``, ``resolve_key`` (rows go to the
+records whose value of that key they have; see files.resolve).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .files import inferred
+from .files import inferred, record_numbers, resolve
 from .log import COLUMNS
 
 
@@ -65,7 +67,7 @@ def register(spark: SparkSession, importer: type[Importer]) -> None:
             if info.type == pafs.FileType.File:
                 return [_File(self.root)]
             found = self.fs.get_file_info(pafs.FileSelector(self.root, recursive=True))
-            return [_File(i.path) for i in sorted(found, key=lambda i: i.path) if i.type == pafs.FileType.File]
+            return [_File(i.path) for i in sorted(found, key=lambda i: i.path) if i.type == pafs.FileType.File and i.base_name[0] not in "._"]
 
         def read(self, partition: _File) -> Iterator[tuple]:
             own = importer()
@@ -101,3 +103,21 @@ def revisions(objects: DataFrame, record: F.Column | str, version: int, annotate
     many = F.when(F.col("v").rlike(r"^\[.*\]$"), F.from_json("v", "array<string>")).otherwise(F.array("v"))
     flat = rows.select("record", F.regexp_replace("key", "[^A-Za-z0-9_]", "_").alias("key"), F.explode(many).alias("v")).filter("v IS NOT NULL AND v <> '' AND key <> '_id_'")
     return flat.select(F.lit(version).cast("long").alias("version"), F.lit(0).cast("long").alias("seq"), F.lit("ADD").alias("action"), "key", "record", *inferred(F.col("v"))).select(*COLUMNS)
+
+
+def numbered(objects: DataFrame, ledger, version: int, resolve_key: str | None = None) -> DataFrame:
+    """objects (object, ...) with _id: new records, or those whose value of ``resolve_key`` an object has."""
+    rows = record_numbers(objects, version)
+    return rows if resolve_key is None else resolve(rows, ledger.live(), resolve_key, F.get_json_object("object", f"$.{resolve_key}"))
+
+
+def load(ledger, importer: type[Importer], path: str, annotate: str | None = None) -> DataFrame:
+    """What the importer reads, as effective revisions of the ledger, which are committed; returned are those."""
+    from ..operators.write import effective
+
+    register(ledger.spark, importer)
+    version = ledger.new_record()
+    objects = ledger.spark.read.format(importer.name).load(path)
+    done = effective(ledger.store.now(), revisions(numbered(objects, ledger, version, importer.resolve_key), "_id", version, annotate))
+    ledger.append(done)
+    return done

@@ -109,16 +109,34 @@ def changes(rows: DataFrame) -> DataFrame:
 
 
 class LogStore:
-    """A store over a revisions table."""
+    """A store over a revisions table.
 
-    def __init__(self, revisions: DataFrame):
-        self.log = revisions
+    With a snapshot, ``live`` has the triples live at version ``since`` as ADDs, and ``tail`` the revisions after it (None: there
+    are none): reads of that time or a later one fold the two, or read the snapshot alone, instead of the whole history."""
+
+    def __init__(self, revisions: DataFrame, live: DataFrame | None = None, tail: DataFrame | None = None, since: int = 0):
+        self.log, self.live, self.tail, self.since = revisions, live, tail, since
+
+    def plus(self, more: DataFrame) -> LogStore:
+        """This store with revisions that are newer than all it has."""
+        tail = more if self.tail is None else self.tail.unionByName(more)
+        return LogStore(self.log.unionByName(more), self.live, tail if self.live is not None else None, self.since)
 
     def revisions(self, keys: Iterable[str] | None = None) -> DataFrame:
-        return self.log if keys is None else self.log.filter(F.col("key").isin(*keys))
+        return _of(self.log, keys)
+
+    def now(self, keys: Iterable[str] | None = None) -> DataFrame:
+        """Revisions whose fold is that of the whole history, now: those of the snapshot and its tail, if there is one."""
+        if self.live is None:
+            return self.revisions(keys)
+        return _of(self.live if self.tail is None else self.live.unionByName(self.tail), keys)
 
     def triples(self, keys: Iterable[str] | None = None, at: int | None = None) -> DataFrame:
-        return fold(self.revisions(keys), at)
+        if self.live is None or (at is not None and at < self.since):
+            return fold(self.revisions(keys), at)
+        if self.tail is None:
+            return _of(self.live, keys).select("key", "record", "type", rank(F.col("type")).alias("rank"), "num", "str", "vid", F.struct("version", "seq").alias("added_at"))
+        return fold(self.now(keys), at)
 
     def wide(self, keys: Iterable[str], at: int | None) -> DataFrame | None:
         return None
@@ -134,6 +152,15 @@ class LogStore:
         return False
 
 
+def _of(revisions: DataFrame, keys: Iterable[str] | None) -> DataFrame:
+    return revisions if keys is None else revisions.filter(F.col("key").isin(*keys))
+
+
+def snapshot(revisions: DataFrame) -> DataFrame:
+    """What is live after all revisions, as ADDs of the version that added it."""
+    return fold(revisions).select("added_at.version", "added_at.seq", F.lit("ADD").alias("action"), "key", "record", "type", "num", "str", "vid").select(*COLUMNS)
+
+
 class Table:
     """A wide table as a source of triples: one value per key and record. ``links`` names the table that a column points to."""
 
