@@ -1,3 +1,5 @@
+import io
+
 import pytest
 
 from ledgerlake.cli import parser, run
@@ -20,6 +22,39 @@ def root(spark, tmp_path_factory):
     return root, do, folder
 
 
+def test_import_resolves_and_annotates_every_kind(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "ledger")
+    do = lambda *a: run(spark, parser().parse_args(list(a)))
+    (tmp_path / "a.csv").write_text("sku,name\n1,x\n2,y\n")
+    do("import", root, str(tmp_path / "a.csv"), "--annotate", "source")
+    (tmp_path / "b.json").write_text('[{"sku": 1, "color": "red"}, {"sku": 9, "color": "lost"}]')
+    do("import", root, str(tmp_path / "b.json"), "--json", "--resolve", "sku")
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "d.txt").write_text("2 7\n9 8\n")
+    do("import", root, str(tmp_path / "c"), "--importer", "tests.test_cli:Weights")
+    monkeypatch.setattr("sys.stdin", io.StringIO("sku,name\n5,z\n"))
+    do("import", root, "-")
+    ledger = Ledger(spark, root)
+    assert ledger.find("source like %a.csv").count() == 2 and ledger.find("color = red and name = x").count() == 1
+    assert ledger.find("color = lost").count() == 0 and ledger.find("weight = 7 and name = y").count() == 1
+    assert ledger.find("weight = 8").count() == 0 and ledger.find("sku = 5 and name = z").count() == 1
+    do("export", root, str(tmp_path / "o"), "--keys", "sku", "--condition", "sku > 0", "--order", "sku desc", "--no-id")
+    lines = [x for p in sorted((tmp_path / "o").glob("part*.csv")) for x in p.read_text().split()]
+    assert [x for x in lines if x != "sku"] == ["5", "2", "1"]
+    do("compact", root)
+    assert do("vacuum", root) > 0 and Ledger(spark, root).find("sku > 0").count() == 3
+
+
+class Weights(importer.Importer):
+    name = "weights"
+    header = False
+    resolve_key = "sku"
+
+    def parse(self, line, names=None):
+        sku, weight = line.split()
+        return {"sku": int(sku), "weight": int(weight)}
+
+
 def test_import(spark, root):
     ledger = Ledger(spark, root[0])
     assert ledger.find("color = red and name = x").count() == 1 and ledger.find("color = lost").count() == 0

@@ -1,3 +1,6 @@
+import zipfile
+
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.operators.read import project
@@ -22,8 +25,11 @@ def test_export(spark, tmp_path):
     log = files.shred_texts(rows.select("name", "n", "record"), F.col("record"), 1)
     out = files.export_table(project(LogStore(log), ["name", "n"], None), ["name", "n"])
     assert [tuple(r) for r in out.collect()] == [(1, "a", "2")]
-    files.write_workbook(out, str(tmp_path / "x.xml"))
-    assert "<Data" in (tmp_path / "x.xml").read_text()
+    files.write_workbook(out, str(tmp_path / "x.xlsx"))
+    sheet = zipfile.ZipFile(tmp_path / "x.xlsx").read("xl/worksheets/sheet1.xml").decode()
+    assert "<c><v>1</v></c>" in sheet and ">a</t>" in sheet
+    with pytest.raises(ValueError):
+        files.write_workbook(out, str(tmp_path / "y.xlsx"), most=0)
 
 
 def test_stream_view_and_events(spark, tmp_path):

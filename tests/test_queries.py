@@ -19,16 +19,16 @@ def duck():
     return con
 
 
-def rows(frame):
-    frame = frame[sorted(frame.columns)]
-    clean = lambda v: None if v is None or v != v else float(v) if isinstance(v, float) and not math.isnan(v) else v
-    return sorted((tuple(clean(v) for v in r) for r in frame.itertuples(index=False)), key=repr)
+def rows(columns, found):
+    at = [columns.index(c) for c in sorted(columns)]
+    clean = lambda v: None if isinstance(v, float) and math.isnan(v) else int(v) if isinstance(v, float) and v == int(v) else v
+    return sorted((tuple(clean(r[i]) for i in at) for r in found), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, duck, name):
-    ours, theirs = QUERIES[name](spark, SF).toPandas(), duck.sql(SQL[name]).df()
-    assert sorted(ours.columns) == sorted(theirs.columns) and rows(ours) == rows(theirs)
+    ours, theirs = QUERIES[name](spark, SF), duck.sql(SQL[name])
+    assert sorted(ours.columns) == sorted(theirs.columns) and rows(ours.columns, ours.collect()) == rows(theirs.columns, theirs.fetchall())
 
 
 def test_entry(spark):
