@@ -6,8 +6,8 @@ is encoded once, a word at a time, and ids return to the documents by position;
 
 * ``table_words`` None: the table holds every distinct word of the corpus and meets every place of a word in a join; the places
   of a text are collected by its digest. Nothing is encoded twice, but every place of every word crosses two exchanges.
-* ``table_words`` a number: the table holds that many of the most frequent words and is broadcast, so that its size is bounded
-  by the number; it meets the distinct words of each block of documents (8 MB of text). Words beyond the table are encoded once
+* ``table_words`` a number: the table holds the most frequent words, at most that many, and is broadcast, so that its size is
+  bounded by the number; it meets the distinct words of each block of documents (8 MB of text). Words beyond the table are encoded once
   for each block they stand in. No text and no place of a word moves.
 
 Words are told apart by their bytes. Defined results: a null or empty text has no tokens; repeated rows are encoded alike; an
@@ -116,10 +116,19 @@ def _encode_table(path: str):
 
 
 def word_table(docs: DataFrame, text: str, path: str, most: int | None) -> DataFrame:
-    """(word, n, ids): the distinct words of docs, or the ``most`` most frequent of them (ties by the word), each encoded once."""
+    """(word, n, ids): the distinct words of docs, or at most ``most`` of the most frequent ones, each encoded once.
+
+    Which counts are frequent enough is read off a histogram of counts with a fixed number of bins; no task sees all words."""
     words = docs.select(F.explode(F.split(F.col(text), _SPLIT)).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
     if most is not None:
-        words = words.orderBy(F.desc("n"), "word").limit(most).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+        words = materialize(words, "bpe-counts")
+        size = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+        room, least = most, 1 << 20
+        for bin_, count in sorted(words.groupBy(size.alias("bin")).count().collect(), reverse=True):  # at most 16 bins a power of two
+            if count > room:
+                break
+            room, least = room - count, bin_
+        words = words.filter(size >= least)
     return words.mapInArrow(_encode_table(path), "word string, n long, ids binary")
 
 
