@@ -9,14 +9,21 @@ pushed into the reader: it parses a record's headers from the first bytes of its
 payload is not wanted, it goes to the next member by the skip length without decompressing the rest. Archives without skip
 lengths are read by decompressing in pieces, so a payload that is not wanted never stands in memory.
 
-Options: payload = bytes | digest | none. A digest is taken while decompressing and compared with the record's header.
+Archives of others are read as well: gzip members without skip lengths, plain ``.warc`` files, digests of SHA-1 or SHA-256 in
+hexadecimal or base32 digits.
+
+Options: payload = bytes | digest | none. The payload's SHA-256 is taken while reading, and the digest of the record's header is
+compared if it is SHA-1 or SHA-256; other algorithms pass unchecked. payload_digest is the SHA-256 in hexadecimal digits: that of
+the header where it has one, else that of the payload if it is read (payload = none: null).
 
 Paths may be anything pyarrow.fs opens (file, hdfs, s3, gs). Defined results: a null page id is written as such and read as
-null; a null or empty payload has no bytes; control characters in an address are percent-encoded; an empty folder gives no rows.
+null; a null or empty payload has no bytes; control characters in an address are percent-encoded; repeated rows are repeated
+records; an empty table or folder gives no rows; other columns of pages are ignored; a payload of any length is one record.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import struct
@@ -31,14 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
+from .common import hot_join, materialize, open_path
+
 SCHEMA = "page_id long, record_type string, target_uri string, date string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 PUSHED = {"record_type", "page_id", "target_uri", "payload_digest"}
 MANIFEST = "_manifest.json"
 _PIECE = 1 << 18
-
-
-def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
+#: Revisits (about 100 bytes each) that are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def record_bytes(kind: str, page_id: int | None, uri: str, date: str, digest: str, length: int, refers_to: int | None, payload: bytes) -> bytes:
@@ -69,7 +76,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.path, self.roll, self.overwrite = path, roll, overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        fs, root = _open(self.path)
+        fs, root = open_path(self.path)
         fs.create_dir(root, recursive=True)
         files, out, size = [], None, 0
         try:
@@ -89,14 +96,14 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
-        fs, root = _open(self.path)
+        fs, root = open_path(self.path)
         fs.create_dir(root, recursive=True)
         old = [] if self.overwrite else _manifest(fs, root) or []
         with fs.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
             out.write(json.dumps(old + [f for m in messages if m for f in m.files]).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        fs, root = _open(self.path)
+        fs, root = open_path(self.path)
         for m in messages:
             for f in m.files if m else []:
                 fs.delete_file(f"{root}/{f}")
@@ -178,6 +185,20 @@ class Source:
         self.at = place
 
 
+class Plain:
+    """A record of an archive that is not compressed, with the same face as a member."""
+
+    def __init__(self, source: Source):
+        self.source, self.out = source, b""
+
+    def _more(self) -> bool:
+        data = self.source.take(_PIECE)
+        self.out += data
+        return bool(data)
+
+    until, piece = Member.until, Member.piece
+
+
 def _skip_length(head: bytes) -> int | None:
     """Compressed length of a member from its 'sl' field."""
     if len(head) < 12 or not head[3] & 4:
@@ -196,40 +217,70 @@ def _number(urn: str | None) -> int | None:
     return int(tail) if tail.lstrip("-").isdigit() else None
 
 
-def read_archive(file, wanted, payload: str) -> Iterator[tuple]:
-    """Rows of SCHEMA whose headers ``wanted`` accepts."""
+#: Digest algorithms with their names and bytes.
+ALGORITHMS = {"sha256": ("sha256", 32), "sha-256": ("sha256", 32), "sha1": ("sha1", 20), "sha-1": ("sha1", 20)}
+
+
+def digest_of(field: str | None) -> tuple[str, bytes] | None:
+    """(algorithm, bytes) of a digest field in hexadecimal or base32 digits; None where it cannot be checked."""
+    label, _, text = (field or "").strip().rpartition(":")
+    name, size = ALGORITHMS.get(label.lower(), (None, 0))
+    try:
+        if name and len(text) == 2 * size:
+            return name, bytes.fromhex(text)
+        found = base64.b32decode(text.upper() + "=" * (-len(text) % 8)) if name else b""
+        return (name, found) if len(found) == size > 0 else None
+    except ValueError:
+        return None
+
+
+def read_archive(file, wanted, payload: str, by_digest: bool = False) -> Iterator[tuple]:
+    """Rows of SCHEMA that ``wanted`` accepts. It is asked by headers alone, where a digest that they do not have is left out, and
+    if it asks for digests (``by_digest``) once more when the payload's is known."""
     source = Source(file)
     while head := source.take(64):
         start = source.at - len(head)
+        if head.startswith(b"\r\n") or head.startswith(b"\n"):  # blank lines between plain records
+            source.back(head.lstrip(b"\r\n"))
+            continue
         source.back(head)
-        length = _skip_length(head)
-        member = Member(source)
+        plain = head.startswith(b"WARC/")
+        length = None if plain else _skip_length(head)
+        member = Plain(source) if plain else Member(source)
         fields = {}
-        for line in member.until(b"\r\n\r\n").decode("utf-8", "replace").split("\r\n")[1:]:
+        headers = member.until(b"\r\n\r\n")
+        for line in headers.decode("utf-8", "replace").split("\r\n")[1:]:
             k, _, v = line.partition(":")
             fields[k.strip().lower()] = v.strip()
-        digest = fields.get("warc-payload-digest", "").rpartition(":")[2] or None
-        kind = fields.get("warc-type")
-        row = {"record_type": kind, "page_id": _number(fields.get("warc-record-id")), "target_uri": fields.get("warc-target-uri"), "payload_digest": digest}
+        said, kind, left = digest_of(fields.get("warc-payload-digest")), fields.get("warc-type"), int(fields["content-length"])
+        if plain:
+            length = len(headers) + left
+        digest = said[1].hex() if said and said[0] == "sha256" else None
+        row = {"record_type": kind, "page_id": _number(fields.get("warc-record-id")), "target_uri": fields.get("warc-target-uri")}
         size, body = (int(fields[x]) if (x := "x-payload-length") in fields else None), None
-        if wanted(row):
-            if kind != "revisit" and payload != "none":
-                left = int(fields["content-length"])
+        if wanted(row | ({"payload_digest": digest} if digest else {})):
+            if kind != "revisit" and (payload != "none" or (by_digest and digest is None)):
                 if fields.get("content-type", "").startswith("application/http"):
                     left -= len(member.until(b"\r\n\r\n"))
                 sha, parts, size = hashlib.sha256(), [], left
+                other = hashlib.sha1(usedforsecurity=False) if said and said[0] == "sha1" else None
                 while left:
                     if not (part := member.piece(left)):
                         raise EOFError("a record is shorter than it says")
                     left -= len(part)
                     sha.update(part)
+                    if other:
+                        other.update(part)
                     if payload == "bytes":
                         parts.append(part)
-                if digest and digest != sha.hexdigest():
+                if said and said[1] != (other or sha).digest():
                     raise ValueError(f"the payload of {fields.get('warc-record-id')} does not match its digest")
                 digest, body = sha.hexdigest(), b"".join(parts) if payload == "bytes" else None
-            yield (row["page_id"], kind, row["target_uri"], fields.get("warc-date"), size, digest, _number(fields.get("warc-refers-to")), body)
-        if length and not member.inflate.eof:
+            if wanted(row | {"payload_digest": digest}):
+                yield (row["page_id"], kind, row["target_uri"], fields.get("warc-date"), size, digest, _number(fields.get("warc-refers-to")), body)
+        if length and (plain or not member.inflate.eof):
+            if plain:
+                source.back(member.out)
             source.go(start + length)
         else:
             member.skip()
@@ -247,12 +298,12 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        fs, root = _open(self.path)
+        fs, root = open_path(self.path)
         info = fs.get_file_info(root)
         if info.type == pafs.FileType.File:
             return [Archives([root])]
         names = _manifest(fs, root)
-        found = fs.get_file_info([f"{root}/{n}" for n in names]) if names is not None else [i for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.type == pafs.FileType.File and i.path.endswith((".warc.gz", ".warc.gz.open"))]
+        found = fs.get_file_info([f"{root}/{n}" for n in names]) if names is not None else [i for i in fs.get_file_info(pafs.FileSelector(root, recursive=True)) if i.type == pafs.FileType.File and i.path.endswith((".warc.gz", ".warc.gz.open", ".warc"))]
         groups, size = [], self.together
         for i in sorted(found, key=lambda i: i.path):
             if size + i.size > self.together:
@@ -263,11 +314,11 @@ class WarcReader(DataSourceReader):
         return [Archives(g) for g in groups]
 
     def read(self, partition: Archives) -> Iterator[tuple]:
-        fs, _ = _open(self.path)
-        wanted = lambda row: all(row[k] in v for k, v in self.filters)
+        fs, _ = open_path(self.path)
+        wanted = lambda row: all(row[k] in v for k, v in self.filters if k in row)
         for name in partition.files:
             with fs.open_input_file(name) as file:
-                yield from read_archive(file, wanted, self.payload)
+                yield from read_archive(file, wanted, self.payload, any(k == "payload_digest" for k, _ in self.filters))
 
 
 class WarcSource(DataSource):
@@ -293,12 +344,14 @@ def register(spark: SparkSession) -> None:
 def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Rows of SCHEMA: of equal payloads of ``least`` bytes or more that of the smallest page id is the response.
 
-    Only digests are grouped (with partial sums); payloads meet their verdict in a join by page, so a payload that many
-    pages share makes no large group."""
+    Only digests are grouped (with partial sums), and those that many pages share are joined by broadcast; payloads meet their
+    verdict in a join by page: the revisits are broadcast if they are few, else the payloads move once."""
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("target_uri"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
     own = own.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
     keys = own.filter(F.col("payload_bytes") >= least).select("page_id", "payload_digest")
-    first = keys.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisits = keys.join(first, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("first").alias("refers_to")).distinct()
-    joined = own.join(revisits.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    first = keys.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL")
+    met = hot_join(keys, first, "payload_digest", "n", F.xxhash64("page_id")).filter(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
+    revisits = materialize(met.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest"), F.col("first").alias("refers_to")).distinct(), "warc-revisits")
+    small = revisits.count() <= BROADCAST_ROWS
+    joined = own.join(F.broadcast(revisits) if small else revisits.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
     return joined.select("page_id", F.when(F.col("_digest").isNull(), "response").otherwise("revisit").alias("record_type"), "target_uri", F.lit(date).alias("date"), "payload_bytes", "payload_digest", "refers_to", F.when(F.col("_digest").isNull(), F.col("payload")).alias("payload"))
