@@ -1,13 +1,18 @@
 """Secret scan by a battery of randomness tests, with Spark expressions only.
 
-Base kinds are patterns. The method looks at every long run of encoding characters: an encoding is inferred, and chi-squared
-uniformity over cells of its alphabet, the runs test about the alphabet's middle and the lag-1 serial correlation must not
-reject a uniform source. How improbable the run's share of digits and capitals (or letters among digits) is in plain text
-gives, by Chernoff's bound, a p-value that falls with length; of the runs of one document those are reported that a
-Benjamini-Hochberg step weighted by length admits, so that short runs have to be stranger than long ones.
+Base kinds are patterns. The method looks at every long run of encoding characters. An encoding is inferred, and three tests of
+the run's places in its alphabet are made: chi-squared over the whole alphabet, the runs test about the alphabet's middle, and
+the lag-1 serial correlation. A run is random if
+
+* none of the three rejects a uniform source (Bonferroni's p of at least UNIFORM_P), and
+* its chi-squared is too small for plain text: under text in which two places agree with the probability COINCIDENCE, it is
+  noncentral chi-squared, and the p-value is the lower tail of that. It falls with the run's length. Of the runs of one document
+  those are reported whose p-value a Benjamini-Hochberg step admits, in which each run weighs as its length, so that short runs
+  have to be stranger than long ones.
 
 Defined results: a null text is empty and has no spans; overlapping runs of the method give way to base spans; repeated
-rows give equal results; an empty table gives an empty result; other columns pass through unread.
+rows give equal results; an empty table gives an empty result; other columns pass through unread, but those of the names that
+``scan`` adds give way; texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -15,45 +20,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, plus
 
-#: The base kinds in their order, pattern, group whose length counts, least length.
+#: The base kinds in their order, pattern, group whose length counts, least length. A run of one class that is long
+#: enough is what a repeated class with that least length finds.
 KINDS = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    ("access", r"AKIA[A-Z0-9]+", 0, 16),
-    ("hex", r"[0-9a-f]+", 0, 32),
+    ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
+    ("hex", r"[0-9a-f]{32,}", 0, 32),
 ]
-#: Encodings in order of inference: name, pattern of a whole run, alphabet, cells of the chi-squared test.
+#: Encodings in order of inference: name, pattern of a whole run, alphabet, how often two places agree in plain text.
 ENCODINGS = [
-    ("hex", "[0-9a-f]+", "0123456789abcdef", 4),
-    ("hex_upper", "[0-9A-F]+", "0123456789ABCDEF", 4),
-    ("base32", "[A-Z2-7]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 4),
-    ("base64", "[A-Za-z0-9+/]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 8),
-    ("base64url", "[A-Za-z0-9_-]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 8),
+    ("hex", "[0-9a-f]+", "0123456789abcdef", 0.1),
+    ("hex_upper", "[0-9A-F]+", "0123456789ABCDEF", 0.1),
+    ("base32", "[A-Z2-7]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.05),
+    ("base64", "[A-Za-z0-9+/]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.05),
+    ("base64url", "[A-Za-z0-9_-]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", 0.05),
 ]
-LEAST, PLAIN_RATE, UNIFORM_P, FALSE_RATE = 20, 0.1, 0.001, 0.001
+#: A run of fewer characters is no candidate; below it the tests' approximations do not hold.
+LEAST, UNIFORM_P, FALSE_RATE = 20, 0.001, 0.01
+RUN = rf"[A-Za-z0-9+/_-]{{{LEAST},}}=*"
 _SPAN = "array<struct<start:int,end:int,kind:int>>"
+_CHUNK = 256
+
+
+def running_sums(sizes: Column) -> Column:
+    """Sums of an array's numbers up to each, chunk by chunk, so that a long array is not copied for every element."""
+
+    def of(sums: Column) -> Column:
+        def chunk(c: Column) -> Column:
+            before = F.aggregate(F.slice(sums, F.lit(1), c), F.lit(0), lambda a, x: a + x)
+            grown = F.aggregate(F.slice(sizes, c * _CHUNK + 1, F.lit(_CHUNK)), F.array(before), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+            return F.slice(grown, F.lit(2), F.size(grown))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(sums) - 1), chunk))
+
+    count = F.ceil(F.size(sizes) / F.lit(_CHUNK)).cast("int")
+    sums = F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.aggregate(F.slice(sizes, c * _CHUNK + 1, F.lit(_CHUNK)), F.lit(0), lambda a, x: a + x))
+    return let(sums, of)
 
 
 def _spans(text: Column, kind: int, pattern: str, group: int, least: int) -> Column:
     """Leftmost non-overlapping matches with places, from the matches and what stands between them."""
 
-    def placed(found: Column, parts: Column, sized: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+    def placed(found: Column, parts: Column) -> Column:
+        sizes = F.transform(found, lambda m, i: F.length(F.get(parts, i)) + F.length(m))
 
-        def step(acc: Column, i: Column) -> Column:
-            begin = acc["at"] + F.length(F.get(parts, i))
-            end = begin + F.length(F.get(found, i))
-            span = F.array(F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind")))
-            return F.struct(end.alias("at"), F.when(F.length(F.get(sized, i)) >= least, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        def cut(ends: Column) -> Column:
+            long = lambda m: (F.length(F.regexp_extract(m, pattern, group)) if group else F.length(m)) >= least
+            span = lambda m, i: F.when(long(m), F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), F.lit(kind).alias("kind")))
+            return F.filter(F.transform(found, span), lambda s: s.isNotNull())
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["spans"]
+        return let(sizes, lambda z: let(running_sums(z), cut))
 
     none = F.array().cast(_SPAN)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else None
-    within = lambda ms: F.when(F.size(ms) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda parts: placed(ms, parts, ms) if sized is None else let(sized, lambda g: placed(ms, parts, g))))
-    return let(found, within)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda parts: placed(found, parts))))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -65,26 +86,22 @@ def _normal_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def _uniform(run: Column) -> Column:
-    """Smallest p-value of the three tests under the inferred encoding, times three; 0 where no encoding fits."""
+def _chi_z(x: Column, df: Column) -> Column:
+    """Wilson and Hilferty's normal deviate of a chi-squared."""
+    return (F.pow(F.greatest(x, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+
+
+def battery(run: Column) -> Column:
+    """struct<plain,uniform>: the p-values of plain text and of a uniform source; 1 and 0 where no encoding fits."""
     bare = F.rtrim(run, F.lit("="))
-    chosen = F.lit(None).cast("struct<alphabet:string,cells:int>")
-    for _, pattern, letters, n in reversed(ENCODINGS):
-        chosen = F.when(bare.rlike(f"^{pattern}$"), F.struct(F.lit(letters).alias("alphabet"), F.lit(n).alias("cells"))).otherwise(chosen)
+    chosen = F.lit(None).cast("struct<alphabet:string,coincidence:double>")
+    for _, pattern, letters, same in reversed(ENCODINGS):
+        chosen = F.when(bare.rlike(f"^{pattern}$"), F.struct(F.lit(letters).alias("alphabet"), F.lit(same).alias("coincidence"))).otherwise(chosen)
 
-    def tests(x: Column, k: Column, cells: Column) -> Column:
+    def tests(x: Column, k: Column, same: Column) -> Column:
         n = F.size(x)
 
-        def chi() -> Column:
-            cell = lambda c: F.size(F.filter(x, lambda v: F.floor(v * cells / k) == c))
-            e = n / cells
-            stat = F.aggregate(F.sequence(F.lit(0), cells - 1), F.lit(0.0), lambda s, c: s + (cell(c) - e) * (cell(c) - e) / e)
-            df = (cells - 1).cast("double")
-            return _normal_tail((F.pow(stat / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
-
         def runs(high: Column) -> Column:
-            n1 = F.aggregate(high, F.lit(0), lambda s, v: s + v)
-
             def z(n1: Column) -> Column:
                 n2 = n - n1
                 mean = 2.0 * n1 * n2 / n + 1
@@ -92,47 +109,40 @@ def _uniform(run: Column) -> Column:
                 changes = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(1), lambda s, i: s + F.abs(F.get(high, i) - F.get(high, i - 1)))
                 return F.when((n1 == 0) | (n2 == 0) | (var <= 0), F.lit(0.0)).otherwise(2 * _normal_tail(F.abs(changes - mean) / F.sqrt(F.when(var > 0, var).otherwise(1.0))))
 
-            return let(n1, z)
+            return let(F.aggregate(high, F.lit(0), lambda s, v: s + v), z)
 
         def serial(d: Column) -> Column:
             whole = F.aggregate(d, F.lit(0.0), lambda s, v: s + v * v)
             lag = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda s, i: s + F.get(d, i) * F.get(d, i - 1))
             return F.when(whole <= 0, F.lit(0.0)).otherwise(2 * _normal_tail(F.abs(lag / F.when(whole > 0, whole).otherwise(1.0) + F.lit(1.0) / n) * F.sqrt(n.cast("double"))))
 
-        high = F.transform(x, lambda v: F.when(v * 2 >= k, 1).otherwise(0))
-        average = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
-        dev = let(average, lambda m: F.transform(x, lambda v: v - m))
-        return F.least(F.lit(1.0), 3 * F.least(chi(), let(high, runs), let(dev, serial)))
+        def both(chi: Column) -> Column:
+            df = (k - 1).cast("double")
+            # Patnaik: a noncentral chi-squared as a multiple of a central one
+            shift = n * (k * same - 1)
+            scale, freedom = (df + 2 * shift) / (df + shift), (df + shift) * (df + shift) / (df + 2 * shift)
+            plain = 1 - _normal_tail(_chi_z(chi / scale, freedom))
+            high = F.transform(x, lambda v: F.when(v * 2 >= k, 1).otherwise(0))
+            average = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
+            dev = let(average, lambda m: F.transform(x, lambda v: v - m))
+            uniform = F.least(F.lit(1.0), 3 * F.least(_normal_tail(_chi_z(chi, df)), let(high, runs), let(dev, serial)))
+            return F.struct(plain.alias("plain"), uniform.alias("uniform"))
+
+        squares = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda s, v: let(F.size(F.filter(x, lambda u: u == v)), lambda c: s + c * c))
+        return let(squares * k / n - n, both)
 
     marks = lambda e: F.transform(F.filter(F.split(bare, ""), lambda c: c != ""), lambda c: F.instr(e["alphabet"], c) - 1)
-    return let(chosen, lambda e: F.when(e.isNull(), F.lit(0.0)).otherwise(let(marks(e), lambda x: tests(x, F.length(e["alphabet"]), e["cells"]))))
-
-
-def _plain_p(run: Column) -> Column:
-    """Chernoff's bound of the run's unusual characters in plain text; digits alone or letters of one case alone are plain."""
-
-    def bound(n: Column, odd: Column) -> Column:
-        share = odd / n
-        kl = F.when(share >= 1, -F.log(F.lit(PLAIN_RATE))).otherwise(share * F.log(share / PLAIN_RATE) + (1 - share) * F.log((1 - share) / (1 - PLAIN_RATE)))
-        return F.when((share <= PLAIN_RATE) | odd.isNull(), F.lit(1.0)).otherwise(F.exp(-n * kl))
-
-    digits, small, large = (F.length(F.regexp_replace(run, p, "")) for p in ("[^0-9]", "[^a-z]", "[^A-Z]"))
-    n = F.length(run)
-    mixed = F.when(small > 0, F.when(digits + large > 0, digits + large)).when(large > 0, F.when(digits > 0, digits + F.least(large, digits)))
-    return bound(n, F.when(mixed.isNotNull(), F.least(mixed, n)))
+    nothing = F.struct(F.lit(1.0).alias("plain"), F.lit(0.0).alias("uniform"))
+    return let(chosen, lambda e: F.when(e.isNull(), nothing).otherwise(let(marks(e), lambda x: tests(x, F.length(e["alphabet"]), e["coincidence"]))))
 
 
 def _random(text: Column, base: Column, kind: int) -> Column:
-    spans = _spans(text, kind, rf"[A-Za-z0-9+/_-]{{{LEAST},}}=*", 0, LEAST)
+    spans = _spans(text, kind, RUN, 0, LEAST)
     free = lambda ss: F.filter(ss, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
     def tested(s: Column) -> Column:
-        def fields(run: Column) -> Column:
-            p = _plain_p(run)
-            # only what plain text does not explain is worth the battery
-            return F.struct(p.alias("p"), (s["end"] - s["start"]).alias("w"), F.when(p < FALSE_RATE, _uniform(run) >= UNIFORM_P).otherwise(False).alias("uniform"), s.alias("span"))
-
-        return let(F.substr(text, s["start"] + 1, s["end"] - s["start"]), fields)
+        fields = lambda p: F.struct(p["plain"].alias("p"), (s["end"] - s["start"]).alias("w"), (p["uniform"] >= UNIFORM_P).alias("uniform"), s.alias("span"))
+        return let(battery(F.substr(text, s["start"] + 1, s["end"] - s["start"])), fields)
 
     def admitted(ts: Column) -> Column:
         total = F.aggregate(ts, F.lit(0), lambda a, t: a + t["w"])
@@ -152,7 +162,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.sort_array(F.concat(*[_spans(body, i, p, g, n) for i, (_, p, g, n) in enumerate(KINDS)]))
     both = let(base, lambda b: F.struct(b.alias("base_spans"), _random(body, b, len(KINDS)).alias("random_spans")))
-    return docs.withColumn("_s", both).select(*[F.col(c) for c in docs.columns], "_s.base_spans", "_s.random_spans")
+    return plus(docs.withColumn("_spans", both), base_spans=F.col("_spans.base_spans"), random_spans=F.col("_spans.random_spans")).drop("_spans")
 
 
 def written(spans: Column) -> Column:
