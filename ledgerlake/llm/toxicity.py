@@ -4,37 +4,36 @@ Categories are predicted one after the other by linear (logistic) models over wo
 probabilities of the categories before it. While training, those come out of fold: a row's earlier probabilities are
 predicted by models that have not seen the row, so that later models learn from what they will meet when scoring.
 
-Models are fitted on at most ``train_rows`` labelled documents (the smallest by hash of their id, a documented bound), over
-at most ``words`` words that stand in at least ``least_docs`` of them, by how far a category's odds differ with the word.
-Every document is scored, over its whole text.
+Models are fitted on labelled documents in the order of a hash of their id, at most ``train_rows`` of them and at most
+``train_bytes`` of distinct words (documented bounds of the sample), over at most ``words`` words that stand in at least
+``least_docs`` of them, by how far a category's odds differ with the word. Every document is scored, over its whole text.
 
 Defined results: a null text has no words; documents without a label are scored, not trained on; rows that repeat a document
 id or its labels count as they stand; a category with one class only (or no labelled row) is predicted at its base rate;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored; a text of any length is scored whole.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TRAIN_ROWS, WORDS, LEAST_DOCS, FOLDS = 12_000, 2_000, 5, 3
-_WORD = re.compile(r"[^\W_]+")
-
+from .common import materialize
 
+TRAIN_ROWS, TRAIN_BYTES, WORDS, LEAST_DOCS, FOLDS = 12_000, 64 << 20, 2_000, 5, 3
 #: Beginnings of words are features too, as inflected forms of one word share them.
 PREFIXES = (5, 6, 7, 8)
 _CACHE = 200_000
 
 
-def _words(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+def words_of(text: Column) -> Column:
+    """The distinct words of a text: runs of letters and digits, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def _features(word: str) -> list[str]:
@@ -42,14 +41,15 @@ def _features(word: str) -> list[str]:
 
 
 class Linear:
-    """Logistic regression with a ridge, by Newton steps on the few active columns of a sparse 0/1 matrix."""
+    """A logistic model over words and the probabilities of earlier categories."""
 
     def __init__(self, words: list[str], weights: np.ndarray, extra: np.ndarray, bias: float):
         self.words, self.weights, self.extra, self.bias = words, weights, extra, bias
 
 
 def _fit(columns: list[np.ndarray], extra: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """columns: of each word the rows that have it. Accelerated gradient descent with a step from the curvature's bound."""
+    """Logistic regression with a ridge; columns: of each word the rows that have it. Accelerated gradient descent with restarts and
+    a step from the curvature's bound."""
     n, k = len(y), extra.shape[1]
     if not n or y.min() == y.max():
         rate = (y.sum() + 0.5) / (n + 1)
@@ -144,23 +144,45 @@ class Chain:
             found = self.cache[word] = [self.vocabulary[f] for f in _features(word) if f in self.vocabulary]
         return found
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.models)))
-        base = np.stack([self.matrix[list({i for w in _words(t) for i in self._known(w)})].sum(axis=0) for t in texts]) if texts else out
+    def score(self, words: pa.Array, doc: np.ndarray, n: int) -> np.ndarray:
+        """Probabilities of n documents; ``words`` are their distinct words and ``doc`` says whose each is.
+
+        A feature counts once for a document, however many of its words share it."""
+        coded = words.dictionary_encode()
+        known = [self._known(w) for w in coded.dictionary.to_pylist()]
+        count = np.array([len(k) for k in known], np.int64)
+        flat, start = np.array([f for k in known for f in k], np.int64), np.cumsum(count) - count
+        of = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        size = count[of] if len(of) else np.zeros(0, np.int64)
+        feature = flat[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[of], size)] if len(flat) else np.zeros(0, np.int64)
+        wide = max(len(self.vocabulary), 1)
+        pairs = np.unique(np.repeat(doc, size) * wide + feature) if len(feature) else np.zeros(0, np.int64)
+        out = np.zeros((n, len(self.models)))
         for j, m in enumerate(self.models):
-            out[:, j] = _probability(base[:, j] + out[:, :j] @ m.extra + m.bias)
+            base = np.bincount(pairs // wide, weights=self.matrix[pairs % wide, j], minlength=n) if len(pairs) else np.zeros(n)
+            out[:, j] = _probability(base + out[:, :j] @ m.extra + m.bias)
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, words: int = WORDS, least_docs: int = LEAST_DOCS, folds: int = FOLDS) -> Chain:
-    """labels has doc_id and a 0/1 column for each category; null labels leave a row out."""
+def sample(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str, text: str, train_rows: int, train_bytes: int) -> pa.Table:
+    """(_id, categories, words) of the labelled documents to fit on, within both bounds, in order of id."""
     marked = labels.select(F.col(doc_id).alias("_id"), *[F.col(c).cast("int").alias(c) for c in categories]).dropna()
     # at most train_rows rows: a bound that holds for any input
     chosen = F.broadcast(marked.orderBy(F.xxhash64("_id"), "_id").limit(train_rows))
-    sample = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).join(chosen, F.col("_doc") == F.col("_id"))
-    per_doc = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("_text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    found = docs.select(F.col(doc_id).alias("_doc"), words_of(F.col(text)).alias("words")).join(chosen, F.col("_doc") == F.col("_id"))
     # more rows than chosen labels can only come of repeated document ids
-    rows = sample.select("_id", *categories, per_doc.alias("words")).limit(train_rows).toArrow().sort_by("_id")
+    size = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w))
+    rows = materialize(found.select("_id", *categories, "words", size.alias("size")).limit(train_rows), "toxicity-sample")
+    held = F.sum("size").over(Window.orderBy(F.xxhash64("_id"), "_id").rowsBetween(Window.unboundedPreceding, 0))
+    within = rows.select("_id", "size").withColumn("held", held).agg(F.max(F.when(F.col("held") <= train_bytes, F.xxhash64("_id"))), F.max("held")).first()
+    if (within[1] or 0) > train_bytes:
+        rows = rows.filter(F.xxhash64("_id") <= F.lit(within[0]))
+    return rows.drop("size").toArrow().sort_by("_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS, words: int = WORDS, least_docs: int = LEAST_DOCS, folds: int = FOLDS, train_bytes: int = TRAIN_BYTES) -> Chain:
+    """labels has doc_id and a 0/1 column for each category; null labels leave a row out."""
+    rows = sample(docs, labels, categories, doc_id, text, train_rows, train_bytes)
     y = np.stack([rows.column(c).to_numpy().astype(float) for c in categories], axis=1) if len(rows) else np.zeros((0, len(categories)))
     lists = rows.column("words").combine_chunks()
     values = lists.flatten().dictionary_encode()
@@ -201,12 +223,15 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def _score(chain_of):
+    """Rows (row, distinct words)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chain = chain_of.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                p = chain.score(part.column(1).to_pylist())
+                lists = part.column(1)
+                p = chain.score(lists.flatten(), np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy())), part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(p[:, j]) for j in range(p.shape[1])), *(pa.array(p[:, j] >= t) for j, t in enumerate(chain.thresholds))], names=["row", *(f"p_{c}" for c in chain.categories), *chain.categories])
 
     return run
@@ -215,5 +240,5 @@ def _score(chain_of):
 def predict(docs: DataFrame, chain: Chain, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, p_category double ..., category boolean ...)."""
     schema = ", ".join(["row long", *(f"p_{c} double" for c in chain.categories), *(f"{c} boolean" for c in chain.categories)])
-    rows = docs.select(F.col(doc_id).cast("long").alias("row"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("row"), words_of(F.col(text)).alias("words"))
     return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(chain)), schema).withColumnRenamed("row", doc_id)
