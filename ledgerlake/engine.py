@@ -200,7 +200,7 @@ class Ledger(Reader):
     def __init__(self, spark: SparkSession, root: str, environment: str = "default", clock: Clock = now, version: int | None = None):
         self.root = f"{root.rstrip('/')}/{environment}"
         self.environment = environment
-        self.staged: list[DataFrame] | None = None
+        self.staged: list[tuple[str, DataFrame]] | None = None
         super().__init__(None, spark, clock)
         self.refresh(version)
 
@@ -277,9 +277,11 @@ class Ledger(Reader):
         """Publishes revisions (sorted by key, so that scans of a key skip most row groups); staged ones wait for commit."""
         if self.staged is not None:
             # statements are told apart by version until the commit gives all of them one
-            version = self.next_version()
-            placed = revisions.withColumn("version", F.lit(version).cast("long"))
-            self.staged.append(placed)
+            version, path = self.next_version(), f"{self.root}/_staged/{uuid.uuid4().hex}"
+            # written, so that the next statement reads rows and not the plans of all statements before
+            revisions.withColumn("version", F.lit(version).cast("long")).select(*COLUMNS).write.parquet(path)
+            placed = self.spark.read.schema(REVISIONS).parquet(path)
+            self.staged.append((path, placed))
             self.store, self.version = self.store.plus(placed), version
             return True
         return self._publish(revisions)
@@ -313,7 +315,7 @@ class Ledger(Reader):
         if not staged:
             return True
         version, out = self.next_version(), None
-        for i, rows in enumerate(staged):
+        for i, (_, rows) in enumerate(staged):
             placed = rows.withColumn("seq", F.col("seq") + i * _STATEMENT).withColumn("version", F.lit(version).cast("long"))
             out = placed if out is None else out.unionByName(placed)
         try:
@@ -321,11 +323,19 @@ class Ledger(Reader):
         except Conflict:
             self.refresh()
             raise
+        finally:
+            self._forget(staged)
 
     def abort(self) -> None:
-        self.staged = None
+        staged, self.staged = self.staged or [], None
+        self._forget(staged)
         self.refresh()
 
+    def _forget(self, staged: list[tuple[str, DataFrame]]) -> None:
+        fs, path = self._fs()
+        for folder, _ in staged:
+            fs.delete(path(folder), True)
+
     def compact(self) -> None:
         """One folder, ordered by key and record, in place of all, and a snapshot of what is live; the history stays.
 
@@ -343,6 +353,7 @@ class Ledger(Reader):
         """Deletes folders and pointers that the last pointer does not need; for a time when nobody reads or writes. How many."""
         fs, path = self._fs()
         keep = {*self.manifest.folders, *self.manifest.tail, self.manifest.live}
+        fs.delete(path(f"{self.root}/_staged"), True)
         gone = [s.getPath() for s in fs.listStatus(path(f"{self.root}/data")) if s.getPath().getName() not in keep]
         gone += [path(f"{self.root}/_log/{n:012d}") for n in self.commits() if n < self.number]
         for p in gone:

@@ -305,7 +305,6 @@ VERBS = {
     "add": lambda g, r: g.add("k", "a", r),
     "remove": lambda g, r: g.remove("k", "a", r),
     "set": lambda g, r: g.set("k", "b", r),
-    "clear": lambda g, r: g.clear(["k"], r),
 }
 
 
