@@ -1,6 +1,9 @@
 """Operators on small tables of hard cases, against brute force, round trips or the model's own definition."""
 
+import base64
+import gzip
 import hashlib
+import math
 import random
 import re
 
@@ -28,12 +31,27 @@ def test_hashes_depend_on_bytes_only():
     starts, ends, row = textcore.pieces(~textcore.IS_SPACE[data], offsets)
     words = [bytes(data[a:b]).decode() for a, b in zip(starts, ends)]
     assert words == ["ab", "cd", "cd", "ab", "ab", "é"] and row.tolist() == [0, 0, 2, 2, 2, 4]
-    h = textcore.Hasher(1)(data, starts, ends)
+    assert [w.decode() for w in textcore.packed(data, starts, ends).to_pylist()] == words
+    h = textcore.piece_hashes(data, starts, ends)
     assert h[0] == h[3] == h[4] != h[1] == h[2] and len(set(h.tolist())) == 3
     sliced, _ = textcore.utf8_of(col.slice(2, 1))
     assert bytes(sliced) == b"cd ab ab"
 
 
+def thue_morse(n, one="a", other="b"):
+    """Words and their opposites, which no polynomial of a hash modulo a power of two tells apart."""
+    return "".join(other if bin(i).count("1") % 2 else one for i in range(n))
+
+
+TWINS = [thue_morse(2048), thue_morse(2048, "b", "a")]
+
+
+def test_twins_have_other_hashes():
+    data, offsets = textcore.utf8_of(pa.array(TWINS))
+    assert len(set(textcore.piece_hashes(data, offsets[:-1], offsets[1:]).tolist())) == 2
+    assert len({tuple(x) for x in jaccard_join.fingerprints(jaccard_join.shingle_sets(pa.array(TWINS), 3)).tolist()}) == 2
+
+
 def test_chunks_never_cut_rows():
     offsets = np.array([0, 10, 10, 500, 510])
     assert list(textcore.chunks(offsets, 100)) == [(0, 2), (2, 3), (3, 4)]
@@ -55,6 +73,15 @@ def test_chats_read_back(spark):
     assert chat_format.format_chats(frame.limit(0)).count() == 0
 
 
+def test_a_long_chat(spark):
+    """Many turns, one of them very long: the spans are where the texts are."""
+    rows = [(1, i, "assistant" if i % 2 else "user", "x" * 300_000 if i == 7 else f"turn {i} <s>") for i in range(20_000)]
+    out = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).first()
+    assert len(out.loss_spans) == 10_000
+    for i in (0, 3, 4, 9_999):
+        assert out.formatted[out.loss_spans[i].start : out.loss_spans[i].end].replace("<\\s>", "<s>") == rows[2 * i + 1][3]
+
+
 # ---- 2 line dedup --------------------------------------------------------------------------------------------------------
 def brute_lines(rows, least=40, least_docs=5):
     key = lambda s: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", s).translate({c: c + 32 for c in range(65, 91)})
@@ -73,11 +100,13 @@ def test_line_dedup(spark, parts):
     pool = ["  " + "é" * 39 + "x ", "A" * 41, "a" * 41, "É" * 40, "short", "", "b " * 25, "c" * 40]
     rows = [(i, None if i == 7 else "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 6)))) for i in range(60)]
     rows += [(100 + i, "hot line that stands in very many documents, again and again") for i in range(300)]
+    rows += [(500 + i, TWINS[i % 2]) for i in range(8)]  # four documents of each: no line may go
+    rows += [(600, "\n".join(["word " * 20_000, "c" * 40, "A" * 41]))]
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        frame = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, keep_runs int").drop("keep_runs").repartition(5)
-        found = line_dedup.with_bitmaps(frame, line_dedup.line_dedup(frame))
+        frame = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, KEEP_RUNS int").repartition(5)
+        found = line_dedup.with_bitmaps(frame, line_dedup.line_dedup(frame), most_bytes=0 if parts == "7" else 1 << 20)
         out = found.select("doc_id", F.when(F.col("keep_runs").isNull(), F.split(F.coalesce("text", F.lit("")), "\n", -1)).otherwise(line_dedup.keep_lines(F.split("text", "\n", -1), F.col("keep_runs"))).alias("kept")).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
@@ -85,6 +114,15 @@ def test_line_dedup(spark, parts):
     assert line_dedup.line_dedup(frame.limit(0)).count() == 0
 
 
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    line = "a line of more than forty characters that many rows have"
+    rows = [(None, line), (1, line), (1, line), (2, line), (3, line), (4, line), (4, "other\n" + line)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.with_bitmaps(frame, line_dedup.line_dedup(frame))
+    # five documents: null, 1, 2, 3, 4; all but the largest lose the line, in each of their rows
+    assert sorted((r.doc_id or 0, r.keep_runs) for r in found.collect() if r.keep_runs) == [(0, [0, 1]), (1, [0, 1]), (1, [0, 1]), (2, [0, 1]), (3, [0, 1])]
+
+
 # ---- 3 language ----------------------------------------------------------------------------------------------------------
 def test_language(spark):
     en, fr = ["the cat and the dog of the house"] * 5, ["le chat et le chien de la maison"] * 5
@@ -92,11 +130,15 @@ def test_language(spark):
     model = language_id.train(train, F.col("text"), F.col("lang"))
     out = {r.doc_id: r for r in language_id.predict(docs(spark, ["the dog", "la maison", None, "", "12 !", "THE HOUSE " * 60_000]), model).collect()}
     assert [out[i].lang_pred for i in range(6)] == ["en", "fr", "und", "und", "und", "en"] and out[2].score == 0 and 0.5 < out[0].score <= 1
+    large = language_id.train(train, F.col("text"), F.col("lang"), cells=0)
+    assert large.model is None and large.nodes.count() == sum(len(c) for c in ({t[max(0, i - 3) : i + 1] if i > 2 else "\0" * (3 - i) + t[: i + 1] for t in ts for i in range(len(t))} for ts in (en, fr)))
+    table = {r.doc_id: r for r in language_id.predict(docs(spark, ["the dog", "la maison", None, "", "12 !", "THE HOUSE " * 60_000, "la maison"]), large).collect()}
+    assert all(table[i].lang_pred == out[i].lang_pred and abs(table[i].score - out[i].score) < 1e-5 for i in range(6)) and table[6].score == table[1].score
     nothing = language_id.train(train.limit(0), F.col("text"), F.col("lang"))
     assert language_id.predict(docs(spark, ["abc"]), nothing).first().lang_pred == "und"
 
 
-def test_code_lengths_are_those_of_the_tree():
+def test_code_lengths_are_those_of_the_tree(spark):
     rng = random.Random(5)
     text = {"a": bytes(rng.choice(b"abc ") for _ in range(300)), "b": bytes(rng.choice(b"bcd ") for _ in range(200))}
     counts, models = [], {}
@@ -125,9 +167,27 @@ def test_code_lengths_are_those_of_the_tree():
 
     probe = b"abdc zzb acd"
     got = model.bits(language_id._grams(np.frombuffer(probe, np.uint8), np.array([0, len(probe)])))
-    for i, c in enumerate(probe):
-        want = [bits(models[x], (b"\0\0\0" + probe[:i])[-3:], c) for x in text]
-        assert np.allclose(got[i], want, atol=1e-4)
+    want = [[bits(models[x], (b"\0\0\0" + probe[:i])[-3:], c) for x in text] for i, c in enumerate(probe)]
+    assert np.allclose(got, want, atol=1e-4)
+    # the same from the table of nodes
+    nodes = spark.createDataFrame([(x, int(g), int(k)) for x, (gs, ks) in zip(text, counts) for g, k in zip(gs, ks)], "lang string, gram long, n long")
+    grams = [int(g) for g in language_id._grams(np.frombuffer(probe, np.uint8), np.array([0, len(probe)]))]
+    costs = {r.gram: r.cost for r in language_id.code_lengths(spark.createDataFrame([(g,) for g in set(grams)], "gram long"), nodes, list(text)).collect()}
+    assert np.allclose([costs[g] for g in grams], want, atol=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    names = [f"l{i:03d}" for i in range(70)]
+    frame = spark.createDataFrame([(i, f"{x} " * 3, x) for i, x in enumerate(names)], "doc_id long, text string, lang string")
+    got = language_id.predict(frame, language_id.train(frame, F.col("text"), F.col("lang"))).collect()
+    assert all(r.lang_pred == names[r.doc_id] for r in got)
+
+
+def test_language_ties_go_to_the_first_by_name(spark):
+    frame = docs(spark, ["same words"], "b").unionByName(docs(spark, ["same words"], "a"))
+    for cells in (10**6, 0):
+        tree = language_id.train(frame, F.col("text"), F.col("lang"), cells=cells)
+        assert {(r.lang_pred, r.score) for r in language_id.predict(docs(spark, ["same words", "other"]), tree).collect()} == {("a", 0.5)}
 
 
 # ---- 4 WARC --------------------------------------------------------------------------------------------------------------
@@ -136,7 +196,7 @@ def test_warc(spark):
     html = ["x" * 150, "é" * 60, None, "", "<p>" * 500, "x" * 150, "x" * 150, "tiny", "tiny"]
     pages = spark.createDataFrame([(i, f"http://h/{i}\r\n", h, 1) for i, h in enumerate(html)], "page_id long, url string, html string, payload int")
     path = new_folder(spark, "warc-test")
-    rows = warc.with_revisits(pages.drop("payload"))
+    rows = warc.with_revisits(pages)
     rows.repartition(3).write.format("warc").mode("append").option("roll_bytes", 400).save(path)
     back = spark.read.format("warc").load(path)
     got = {r.page_id: r for r in back.collect()}
@@ -148,11 +208,16 @@ def test_warc(spark):
     few = back.filter("record_type = 'revisit' AND page_id = 6")
     assert few.count() == 1 and "PushedFilters" not in str(few.schema)
     assert spark.read.format("warc").option("payload", "none").load(path).filter("payload IS NULL").count() == 9
+    tiny = hashlib.sha256(b"tiny").hexdigest()
+    assert sorted(r.page_id for r in back.filter(F.col("payload_digest") == tiny).collect()) == [7, 8]
+    empty = new_folder(spark, "warc-empty")
+    warc.with_revisits(pages.limit(0)).write.format("warc").mode("append").save(empty)
+    assert spark.read.format("warc").load(empty).count() == 0
+    odd = spark.createDataFrame([(None, "u", "y" * 200), (None, "u", "y" * 200), (3, "u", "y" * 200), (3, "u", "y" * 200)], "page_id long, url string, html string")
+    assert sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.with_revisits(odd).collect()) == [(0, "revisit", 3), (0, "revisit", 3), (3, "response", None), (3, "response", None)]
 
 
 def test_warc_skips_by_length_and_reads_plain_members(tmp_path):
-    import gzip
-
     big = b"a" * 3_000_000
     records = [warc.record_bytes("response", i, "u", "d", hashlib.sha256(big).hexdigest(), len(big), None, big) for i in range(3)]
     plain = [gzip.compress(gzip.decompress(r)) for r in records]
@@ -169,6 +234,34 @@ def test_warc_skips_by_length_and_reads_plain_members(tmp_path):
         assert sum(reads) < len(b"".join(records)) + 1_000_000
 
 
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress])
+def test_archives_of_others(tmp_path, pack):
+    """Plain and compressed archives with digests of SHA-1 or SHA-256 in base32 or hexadecimal digits, or of unknown kinds."""
+    body = b"<html>other</html>"
+    b32 = lambda h: base64.b32encode(h).decode()
+    said = ["sha1:" + b32(hashlib.sha1(body).digest()), "sha1:" + hashlib.sha1(body).hexdigest(), "sha256:" + b32(hashlib.sha256(body).digest()).rstrip("="), "md5:x", ""]
+
+    def record(kind, digest, content, body):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:1-2>\r\n" + (f"WARC-Payload-Digest: {digest}\r\n" if digest else "")
+        return (head + f"Content-Type: {content}\r\nContent-Length: {len(body)}\r\n\r\n").encode() + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body
+    rows = [record("warcinfo", "", "application/warc-fields", b"a: b\r\n"), *(record("response", d, "application/http; msgtype=response", http) for d in said)]
+    (tmp_path / "a.warc").write_bytes(b"".join(map(pack, rows)))
+    for payload in ("bytes", "digest", "none"):
+        with open(tmp_path / "a.warc", "rb") as f:
+            got = list(warc.read_archive(f, lambda r: True, payload))
+        assert [r[1] for r in got] == ["warcinfo"] + ["response"] * 5
+        if payload != "none":
+            assert {r[5] for r in got[1:]} == {hashlib.sha256(body).hexdigest()}
+    with open(tmp_path / "a.warc", "rb") as f:
+        mine = {hashlib.sha256(body).hexdigest()}
+        assert len(list(warc.read_archive(f, lambda r: r.get("payload_digest", next(iter(mine))) in mine, "none", True))) == 5
+    (tmp_path / "b.warc").write_bytes(pack(record("response", "sha1:" + hashlib.sha1(b"x").hexdigest(), "application/http", http)))
+    with open(tmp_path / "b.warc", "rb") as f, pytest.raises(ValueError):
+        list(warc.read_archive(f, lambda r: True, "digest"))
+
+
 # ---- 5 toxicity ----------------------------------------------------------------------------------------------------------
 def test_toxicity(spark):
     rng = random.Random(1)
@@ -190,16 +283,64 @@ def test_toxicity(spark):
     assert toxicity.predict(frame, nobody).count() == 300
 
 
+def test_chain_is_the_brute_force_chain(spark):
+    """Models on plain sets of words, one row after the other; earlier probabilities out of fold."""
+    rng = random.Random(8)
+    mild, bad = [f"mild{c}{i}" for c in "abc" for i in range(9)], ["rudely", "rudest", "vile", "viler"]
+    texts = {}
+    for i in range(240):
+        texts[i] = " ".join(rng.sample(mild, 6) + (rng.sample(bad, 2) if i % 3 == 0 else []) + (["vicious"] if i % 6 == 0 else []))
+    labels = {i: (int(i % 3 == 0), int(i % 6 == 0)) for i in texts if i % 5}
+    frame = spark.createDataFrame([(i, t, 0.5) for i, t in texts.items()], "doc_id long, text string, p_rude double")
+    chain = toxicity.train(frame, spark.createDataFrame([(i, *v) for i, v in labels.items()], "doc_id long, rude int, worse int"), ["rude", "worse"], words=50, least_docs=5)
+    features = lambda t: {f for w in re.findall(r"[a-z0-9]+", t.lower()) for f in [w, *(w[:k] + "*" for k in toxicity.PREFIXES if len(w) > k)]}
+    ids = sorted(labels)
+    sets = [features(texts[i]) for i in ids]
+    fold = np.arange(len(ids)) % toxicity.FOLDS
+    earlier, models = np.zeros((len(ids), 0)), []
+    for j in range(2):
+        y = np.array([labels[i][j] for i in ids], float)
+        rows_of = {f: np.array([k for k, s in enumerate(sets) if f in s]) for f in set().union(*sets)}
+        own = toxicity._select({f: r for f, r in rows_of.items() if len(r) >= 5}, y, 50, 5)
+        held = np.zeros(len(ids))
+        for f in range(toxicity.FOLDS):
+            seen = [k for k in range(len(ids)) if fold[k] != f]
+            w, e, b = toxicity._fit([np.array([p for p, k in enumerate(seen) if x in sets[k]], int) for x in own], earlier[seen], y[seen])
+            for k in np.flatnonzero(fold == f):
+                held[k] = 1 / (1 + np.exp(-(sum(v for x, v in zip(own, w) if x in sets[k]) + earlier[k] @ e + b)))
+        models.append((own, *toxicity._fit([rows_of[x] for x in own], earlier, y)))
+        assert chain.models[j].words == own and np.allclose(chain.models[j].weights, models[j][1], atol=1e-6)
+        earlier = np.column_stack((earlier, held))
+    for r in toxicity.predict(frame, chain).collect():
+        before = []
+        for j, (own, w, e, b) in enumerate(models):
+            before.append(1 / (1 + np.exp(-(sum(v for x, v in zip(own, w) if x in features(texts[r.doc_id])) + np.dot(before, e) + b))))
+        assert np.allclose([r.p_rude, r.p_worse], before, atol=1e-6)
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    frame = docs(spark, [f"w{i} " * 3 + "x" * 50 for i in range(100)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, rude int")
+    assert len(toxicity.sample(frame, labels, ["rude"], "doc_id", "text", 80, 1 << 20)) == 80
+    few = toxicity.sample(frame, labels, ["rude"], "doc_id", "text", 80, 1000)
+    assert 10 < len(few) < 25
+    long = docs(spark, ["idiot " + "word " * 200_000, None, ""])
+    assert toxicity.predict(long, toxicity.train(frame, labels, ["rude"])).count() == 3
+
+
 # ---- 6 BPE ---------------------------------------------------------------------------------------------------------------
-def test_bpe_is_the_library(spark):
+@pytest.mark.parametrize("table", [None, 3, 10**6])
+def test_bpe_is_the_library(spark, table):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    texts = ["a<|endoftext|>b <|startoftext|>", " x y\x0bz\x85q", "é é", "İstanbul ΣΑΣ ß", "it's 12 $$ ### I'LL don't", "", "   \n\t", "\x1c\x1da\x1fb", "日本語 テスト😀👍🏽", "<|endoftext|><|endoftext|>", "​ ﻿ x", None, "word " * 50_000, "à̖"]
-    for r in bpe.encode_decode(docs(spark, texts), tokenizer_path()).collect():
+    texts = ["a<|endoftext|>b <|startoftext|>", " x y\x0bz\x85q", "é é", "İstanbul ΣΑΣ ß", "it's 12 $$ ### I'LL don't", "", "   \n\t", "\x1c\x1da\x1fb", "日本語 テスト😀👍🏽", "<|endoftext|><|endoftext|>", "​ ﻿ x", None, "word " * 50_000, "à̖", *TWINS, "a a b b", "a a b b"]
+    rows = bpe.encode_decode(docs(spark, texts), tokenizer_path(), table_words=table).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
         ids = t.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.decoded == t.decode(ids, skip_special_tokens=False)
-    assert bpe.encode_decode(docs(spark, ["x"]).limit(0), tokenizer_path()).count() == 0
+    assert bpe.encode_decode(docs(spark, ["x"]).limit(0), tokenizer_path(), table_words=table).count() == 0
 
 
 # ---- 7 quality -----------------------------------------------------------------------------------------------------------
@@ -208,18 +349,18 @@ def test_quality(spark):
     usual = "the of and to in a is that it for stone river window paper garden".split()
     texts = [" ".join(rng.choice(usual) for _ in range(120)) + "." for _ in range(60)]
     shout, symbols, loop = " ".join(w.upper() + "!!" for w in texts[0].split()), texts[1].replace(" ", " $$$ ### "), "one two three four five six seven eight nine ten " * 30
-    hard = [shout, symbols, loop, None, "", "few words", "l l\nl l\n\nx\n\n"]
+    hard = [shout, symbols, loop, None, "", "few words", "l l\nl l\n\nx\n\n", "the of river and stone in " * 5_000, texts[0], texts[0]]
     frame = docs(spark, texts + hard, "en")
-    out = {r.doc_id: r for r in quality_rules.rules(frame.drop("n_words")).collect()}
+    out = {r.doc_id: r for r in quality_rules.rules(frame).collect()}
     assert all(out[i].kept for i in range(60))
-    assert [out[60 + i].kept for i in range(6)] == [False] * 6 and not out[60].base_failed and out[62].base_failed
+    assert out[67].n_words == 30_000 and out[67].base_failed and out[68].kept and out[69].kept and [out[60 + i].kept for i in range(6)] == [False] * 6 and not out[60].base_failed and out[62].base_failed
     assert out[66].n_dup_lines == 1 and out[66].n_words == 5 and out[63].n_words == 0
     for i in (0, 62):
         w = (texts + hard)[i].split()
         windows = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
         inside = {k + j for k, x in enumerate(windows) if windows.count(x) > 1 for j in range(8)}
         assert out[i].n_repeat_words == len(inside)
-    assert quality_rules.rules(frame.drop("n_words").limit(0)).count() == 0
+    assert quality_rules.rules(frame.limit(0)).count() == 0
 
 
 def test_pipeline_rejects_texts_without_common_words(spark):
@@ -252,15 +393,49 @@ def test_decontamination(spark, monkeypatch, block):
     rng = random.Random(4)
     vocabulary = "a b c É d9 e".split()
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 3, 8, 9, 20])))) for i in range(12)] + [(50, None), (3, "zz yy xx")]
-    texts = [", ".join(rng.choice([*vocabulary, "F", "g"]) for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, "", items[5][1].upper() if items[5][1] else "q", "zz yy", "xx zz-YY xx"]
+    items += [(60, " ".join([TWINS[0], *"pqrstuv"])), (61, " ".join(["a"] * 40))]
+    texts = [", ".join(rng.choice([*vocabulary, "F", "g"]) for _ in range(rng.randint(0, 60))) for _ in range(80)] + [" ".join([x, *"pqrstuv"]) for x in TWINS] + ["a " * 300, "a " * 300, "b a " * 9_000] + [None, "", items[5][1].upper() if items[5][1] else "q", "zz yy", "xx zz-YY xx"]
     bench = spark.createDataFrame(items, "item_id long, text string")
     out = {r.doc_id: r for r in decontaminate.find_matches(docs(spark, texts), bench).collect()}
     for i, t in enumerate(texts):
         assert (out[i].n_words, out[i].n_hit, out[i]["items"]) == brute_hits(t, items), t
+    odd = spark.createDataFrame([(None, "zz yy xx"), (None, "zz yy xx"), (4, None)], "doc_id long, text string")
+    assert [(r.doc_id, r.n_hit) for r in decontaminate.find_matches(odd, bench).orderBy("doc_id").collect()] == [(None, 3), (None, 3), (4, 0)]
     assert decontaminate.find_matches(docs(spark, texts), bench.limit(0)).filter("n_hit > 0").count() == 0
     assert decontaminate.find_matches(docs(spark, ["x"]).limit(0), bench).count() == 0
 
 
+def test_suffix_arrays_are_sorted_and_searched():
+    rng = np.random.default_rng(3)
+    for codes in ([], [0, 0], [1], [1, 1, 1, 1, 0, 1, 1, 1, 1], rng.integers(0, 3, 300), rng.integers(0, 9, 300), np.tile([1, 2, 3], 50)):
+        codes = np.append(np.array(codes, np.int64), 0)
+        ends = [int(np.flatnonzero(codes[i:] == 0)[0]) + i for i in range(len(codes))]
+        suffix = lambda i: codes[i : ends[i]].tolist()
+        order = decontaminate.suffix_array(codes)
+        assert sorted(order.tolist()) == np.flatnonzero(codes).tolist()
+        assert [suffix(i) for i in order] == sorted(suffix(i) for i in np.flatnonzero(codes))
+        test = rng.integers(1, 4, 60)
+        rows = pa.table({"item": ["x"], "text_hash": [1], "at": [0], "length": [60], "words": [[str(c) for c in test]]})
+        block = decontaminate.TestBlock(rows, 4)
+        known = {w.as_py().decode(): i + 1 for i, w in enumerate(block.vocabulary)}
+        own = np.array([known.get(str(c), 0) for c in codes], np.int64)
+        longest = decontaminate.search(block, own, decontaminate.suffix_array(own))[3]
+        for q in range(60):
+            best = max((next((k for k in range(60 - q + 1) if k == 60 - q or i + k >= len(codes) or codes[i + k] != test[q + k]), 0) for i in range(len(codes))), default=0)
+            assert longest[q] == best
+
+
+def test_matches_of_one_long_test_text_are_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)
+    item = " ".join(f"w{i}" for i in range(70))
+    bench = spark.createDataFrame([(1, item), (2, "one two three four five six seven eight nine")], "item_id long, text string")
+    texts = ["x " + " ".join(item.split()[5:60]) + " y", "so One, two three four five six seven eight nine. end", "one two three four five six seven eight"]
+    m = {r.doc_id: [tuple(x) for x in r.matches] for r in decontaminate.find_matches(docs(spark, texts), bench).collect()}
+    assert m[0] == [("1", 5, 1, 55)] and m[1] == [("2", 0, 1, 9)]
+    # a whole test text of nine words is removed, part of it is not
+    assert [r.doc_id for r in decontaminate.remove(docs(spark, texts), bench).collect()] == [2]
+
+
 def test_longest_matches_and_removal(spark):
     item = " ".join(f"w{i}" for i in range(30))
     texts = ["x " + item + " y", "x " + " ".join(item.split()[5:16]) + " z", "clean text", None, " ".join(item.split()[2:15])]
@@ -293,7 +468,7 @@ def test_jaccard_components(spark, n, num, block):
     rng = random.Random(n)
     words = [f"w{i}" for i in range(400)]
     base = [[rng.choice(words) for _ in range(rng.choice([1, 2, 8, 12, 40, 120, 300]))] for _ in range(25)]
-    texts = [None, "", " \n", "one", "One", "one two"]
+    texts = [None, "", " \n", "one", "One", "one two", *TWINS, TWINS[0]]
     for b in base:
         for _ in range(rng.randint(1, 6)):
             w = list(b)
@@ -311,11 +486,11 @@ def test_jaccard_components(spark, n, num, block):
 
 def test_jaccard_filter_keeps_all_links_at_the_threshold():
     """Pairs at exactly 0.8, each with no support but from the other: both must share as many parts as the filter asks."""
-    classes, hasher, lost = jaccard_join.Classes(80, 100), textcore.Hasher(5), []
+    classes, lost = jaccard_join.Classes(80, 100), []
     for s in (25, 30, 30, 35, 40, 45, 50, 55, 60):
         words = [[f"p{i}x{k}" for k in range(s + 4)] for i in range(1500)]
         texts = pa.array([" ".join(x) for w in words for x in (w, w[: len(w) - s // 5])])
-        sets = jaccard_join.shingle_sets(texts, 5, hasher)
+        sets = jaccard_join.shingle_sets(texts, 5)
         assert all(100 * len(np.intersect1d(a, b)) == 80 * len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2]))
         sig, owner, least = jaccard_join.part_signatures(sets, classes)
         met = {}
@@ -330,6 +505,18 @@ def test_jaccard_filter_keeps_all_links_at_the_threshold():
     assert lost == []
 
 
+def test_jaccard_of_null_and_repeated_ids(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    near, far = a.replace("w59", "x"), a.replace("w0 ", "x ").replace("w59", "y")
+    rows = [(None, a), (7, near), (8, far), (9, "quite other words that stand alone here"), (9, a), (5, None), (None, None), (None, "lone text of a row without an id"), (None, "lone text of a row without an id")]
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, th string")
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame, n=3, num=90).collect()), key=str)
+    linked = [(0, 58, 7), (7, 58, 7), (8, 58, 7), (9, 58, 7)]
+    assert got == sorted([*linked, (9, 5, 9), (5, 0, 5), (0, 0, None), (0, 6, None), (0, 6, None)], key=str)
+    kept = sorted(((r.doc_id or 0, (r.text or "")[:5]) for r in jaccard_join.keep_one(frame, n=3, num=90).collect()))
+    assert kept == [(0, ""), (0, "lone "), (0, "lone "), (5, ""), (7, "w0 w1"), (9, "quite")]
+
+
 def test_jaccard_empty_and_keep_one(spark):
     assert jaccard_join.jaccard_components(docs(spark, ["x"]).limit(0)).count() == 0
     frame = docs(spark, ["a b c d e f", "z", "A b c d e f", None, None])
@@ -369,3 +556,57 @@ def test_secrets(spark):
     assert [tuple(s) for s in out[5].random_spans] == [(4, 44, 3)]
     assert not out[8].random_spans and not out[9].random_spans and not out[10].random_spans
     assert secret_scan.scan(docs(spark, texts).limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "token: abcdefgh", 1), (None, "token: abcdefgh", 1), (3, "hex " + "0123456789abcdef" * 20_000, 2), (4, "secret=abcdefgh1 " * 3000, 1)], "doc_id long, text string, base_spans int")
+    got = secret_scan.scan(odd).orderBy("doc_id").collect()
+    assert [len(r.base_spans) for r in got] == [1, 1, 1, 3000] and got[2].base_spans[0].end == 4 + 320_000
+    assert [(s.start, s.end) for s in got[3].base_spans] == [(17 * i, 17 * i + 16) for i in range(3000)]
+
+
+def tail(z):
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def brute_battery(run):
+    """The p-values of plain text and of a uniform source by their definitions."""
+    bare = run.rstrip("=")
+    found = next(((a, same) for _, p, a, same in secret_scan.ENCODINGS if re.fullmatch(p, bare)), None)
+    if found is None:
+        return 1.0, 0.0
+    a, same = found
+    x, k, n = [a.index(c) for c in bare], len(a), len(bare)
+    chi = sum((x.count(i) - n / k) ** 2 / (n / k) for i in range(k))
+    deviate = lambda v, df: ((v / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    shift = n * (k * same - 1)
+    plain = 1 - tail(deviate(chi / ((k - 1 + 2 * shift) / (k - 1 + shift)), (k - 1 + shift) ** 2 / (k - 1 + 2 * shift)))
+    high = [v * 2 >= k for v in x]
+    n1 = sum(high)
+    mean = 2 * n1 * (n - n1) / n + 1
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    runs = 0.0 if n1 in (0, n) or var <= 0 else 2 * tail(abs(1 + sum(u != v for u, v in zip(high, high[1:])) - mean) / math.sqrt(var))
+    dev = [v - sum(x) / n for v in x]
+    whole = sum(d * d for d in dev)
+    serial = 2 * tail(abs(sum(u * v for u, v in zip(dev, dev[1:])) / whole + 1 / n) * math.sqrt(n)) if whole else 0.0
+    return plain, min(1.0, 3 * min(tail(deviate(chi, k - 1)), runs, serial))
+
+
+def test_battery_and_false_discoveries_by_brute_force(spark):
+    rng = random.Random(9)
+    letters = secret_scan.ENCODINGS[3][2]
+    random_ = ["".join(rng.choice(letters) for _ in range(n)) for n in (20, 24, 32, 44, 64, 200)]
+    plain = ["internationalization/of/" + "some" * 5, "abcdefghijklmnopqrstuvwxyz", "ThisIsACamelCaseNameOfAMethodInCode", "a" * 50, "1234567890" * 3, "A" * 10 + "B" * 12, "x_y/z+" * 5]
+    runs = random_ + plain
+    got = spark.createDataFrame([(r,) for r in runs], "r string").select("r", secret_scan.battery(F.col("r")).alias("p")).collect()
+    for r in got:
+        assert np.allclose([r.p.plain, r.p.uniform], brute_battery(r.r), atol=1e-6), r.r
+    texts = [" . ".join(rng.sample(runs, rng.randint(1, 8))) for _ in range(40)]
+    for r in secret_scan.scan(docs(spark, texts)).collect():
+        spans = [(m.start(), m.end()) for m in re.finditer(secret_scan.RUN, texts[r.doc_id])]
+        spans = [s for s in spans if not any(b.start < s[1] and s[0] < b.end for b in r.base_spans)]
+        judged = sorted((brute_battery(texts[r.doc_id][a:b])[0], b - a, brute_battery(texts[r.doc_id][a:b])[1], (a, b)) for a, b in spans)
+        total, weight, most = sum(w for _, w, _, _ in judged), 0, -1.0
+        for p, w, _, _ in judged:
+            weight += w
+            most = p if p * total <= secret_scan.FALSE_RATE * weight else most
+        assert [(s.start, s.end) for s in sorted(r.random_spans)] == sorted(s for p, _, u, s in judged if p <= most and u >= secret_scan.UNIFORM_P)
+    found = {texts[0][s.start : s.end] for s in secret_scan.scan(docs(spark, [" . ".join(runs)])).first().random_spans}
+    assert not found & set(plain)
