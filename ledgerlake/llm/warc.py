@@ -313,7 +313,9 @@ class WarcReader(DataSourceReader):
             size += i.size
         return [Archives(g) for g in groups]
 
-    def read(self, partition: Archives) -> Iterator[tuple]:
+    def read(self, partition: Archives | None) -> Iterator[tuple]:
+        if partition is None:  # no archives at all
+            return
         fs, _ = open_path(self.path)
         wanted = lambda row: all(row[k] in v for k, v in self.filters if k in row)
         for name in partition.files:
