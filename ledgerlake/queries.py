@@ -309,7 +309,7 @@ def ping(spark, sf):
 _HELD = [(1, 6.55), (2, 185.22), (8, 106.03), (13, 185.22), (1000000, 6.55)]
 
 
-@query(f"SELECT t.*, EXISTS (SELECT 1 FROM events e WHERE event_type = 'error' AND e.user_id = t.user_id AND e.value = t.value) AS held FROM (VALUES {', '.join(map(str, _HELD))}) t(user_id, value)")
+@query(f"SELECT t.user_id, CAST(t.value AS DOUBLE) AS value, EXISTS (SELECT 1 FROM events e WHERE event_type = 'error' AND e.user_id = t.user_id AND e.value = t.value) AS held FROM (VALUES {', '.join(map(str, _HELD))}) t(user_id, value)")
 def verify(spark, sf):
     r = added(spark, sf)
     return spark.createDataFrame([(u, v, r.verify("error", v, u)) for u, v in _HELD], "user_id int, value double, held boolean")
