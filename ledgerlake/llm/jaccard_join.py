@@ -337,8 +337,10 @@ class _Join:
         met = materialize(self._dealt(self.body).mapInArrow(_meet(_support), _B), "jaccard-met")
         rows = met.filter("kind = 0").select("doc", "th", "n", "fp", "own", "next")
         support = met.filter("kind = 1").groupBy("fp").agg(*[F.sum(F.when(F.col("own") == i, F.col("n")).otherwise(0)).alias(f"s{i}") for i in (0, 1)])
-        enough = rows.filter("n > 0").join(support, "fp").filter("s0 >= own OR s1 >= next")
-        some = enough.groupBy("fp").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("id"), F.col("th"))).alias("at"), F.first("n").alias("n"))
+        # one row a set before the join, so that many copies make no large key; the rest of a row follows from its set
+        at = F.min(F.struct(F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("id"), F.col("th"))).alias("at")
+        once = rows.filter("n > 0").groupBy("fp").agg(at, *[F.max(c).alias(c) for c in ("n", "own", "next")])
+        some = once.join(support, "fp").filter("s0 >= own OR s1 >= next")
         body = self.body.select(F.col("doc").isNull().alias("none"), F.coalesce("doc", F.lit(0)).alias("id"), "th", "text")
         fetched = body.join(some.select("at.*", "fp", "n").hint("shuffle_hash"), ["none", "id", "th"]).dropDuplicates(["none", "id", "th"])
         return rows.select("doc", "th", "n", "fp"), materialize(fetched.select("fp", "n", "text"), "jaccard-texts")
