@@ -484,13 +484,14 @@ class Ledger(Reader):
         return rows, links
 
     def _intended(self, rows: list[tuple], links: list[tuple[str, int, str]]) -> DataFrame:
-        """All as ADDs; the sources of one condition and key meet what it finds by the condition's number."""
+        """All as ADDs; the sources of one condition and key meet what it finds, these rows included, by the condition's number."""
         version = self.next_version()
         out = write.intents(self.spark, rows, version)
+        seen = Reader(self.store.plus(out), self.spark, self.clock)
         for n, (key, condition) in enumerate(dict.fromkeys((k, c) for k, _, c in links)):
             write.check(key, Link(0), None)
             sources = self.ids([r for k, r, c in links if (k, c) == (key, condition)]).withColumn("number", F.lit(n))
-            out = out.unionByName(write.links_to(sources, key, self.find(condition).withColumn("number", F.lit(n)), version, len(rows)))
+            out = out.unionByName(write.links_to(sources, key, seen.find(condition).withColumn("number", F.lit(n)), version, len(rows)))
         return out
 
     def revert(self, keys: list[str], of, to) -> bool:
