@@ -15,7 +15,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, whose histograms are too far from their language's, or that lack its common words, go."""
     # the verdict takes the names of the operator's columns; what docs has under these names is set aside
     aside = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", "lang")
-    return quality_rules.rules(aside, least_common=quality_rules.LEAST_COMMON).filter("kept").select("_row.*")
+    return quality_rules.rules(aside, least_common=quality_rules.LEAST_COMMON, keep_text=False).filter("kept").select("_row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
