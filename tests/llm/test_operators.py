@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ledgerlake.llm import bpe, chat_format, decontaminate, jaccard_join, language_id, line_dedup, quality_rules, secret_scan, signature_tree, textcore, toxicity, warc
-from ledgerlake.llm.common import new_folder
+from ledgerlake.llm.common import materialize, new_folder
 from ledgerlake.llm.q_op6 import tokenizer_path
+from ledgerlake.sources.shared import made
 
 DOCS = "doc_id long, text string, lang string, n_words int, `items` string"
 
@@ -523,6 +524,34 @@ def test_jaccard_empty_and_keep_one(spark):
     assert sorted(r.doc_id for r in jaccard_join.keep_one(frame).collect()) == [0, 1, 3, 4]
 
 
+def test_jaccard_signatures_take_few_bytes_however_many_buckets():
+    rng = random.Random(2)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(range(60)), pa.array([" ".join(f"w{rng.randrange(9999)}" for _ in range(480)) for _ in range(60)])], names=["doc", "th", "text"])
+    for buckets in (48, 12_000):
+        blobs = [b for out in jaccard_join._sign(5, 80, 100, buckets)([batch]) for b in out.column("data").to_pylist() if b]
+        sent = [jaccard_join._unpack(b) for b in blobs]
+        assert len({x for s in sent for x in s[1].tolist()}) == 60 and {x for s in sent for x in s[2].tolist()} == {0, 1}
+        # eight bytes of name and one of count an owner and bucket, five a signature; three more planes of counts are zeros
+        assert sum(len(b) for b in blobs) - 3 * sum(int(np.frombuffer(b, "<u4", 1)[0]) for b in blobs) - 8 * len(blobs) <= 14 * sum(len(s[0]) for s in sent)
+
+
+def test_jaccard_leaves_no_large_intermediates(spark):
+    """Texts, signatures and rounds of components are deleted when the links are written, and a written table leaves no shuffle files."""
+    rng = random.Random(3)
+    base = [" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(30)]
+    frame = docs(spark, [t + e for t in base for e in ("", " x", " y z")])
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {x.rsplit("/", 1)[1] for x in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before, shuffled = set(made()), files()
+    out = jaccard_join.jaccard_components(frame, block_bytes=2000)
+    left = sorted(f.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in made() if f not in before)
+    assert left == ["hot-join", "hot-join", "jaccard-keyed", "jaccard-links", "jaccard-rows"]
+    assert out.count() == 90
+    shuffled |= files()
+    materialize(frame.repartition(4, "doc_id").groupBy("text").count(), "test-shuffle")
+    assert files() <= shuffled
+
+
 def test_signature_tree_finds_all_links():
     rng = np.random.default_rng(0)
     sets = []
